@@ -82,7 +82,7 @@ def _delay_ms(start: str, end: str) -> Column:
 
 
 def _percentiles(histogram: DataFrame, value: str, weight: str, percentiles: Sequence[float]) -> list[Column]:
-    return [F.percentile(value, F.lit(p), weight).alias(f"p{p * 100:g}_ms") for p in percentiles]
+    return [F.percentile(value, F.lit(p), F.col(weight)).alias(f"p{p * 100:g}_ms") for p in percentiles]
 
 
 def latency(rows: DataFrame, budget_ms: int, window_ms: int, start: str = "event_ts",

@@ -18,7 +18,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false").config("spark.ui.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
