@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from timbrewatch.config import FrameSpec, LogisticModel
 from timbrewatch.functions import spectral as fs
@@ -74,7 +75,7 @@ def spoof_score_batch(features: DataFrame, make_predict: Callable[[], Callable[[
     ``make_predict`` runs once per Python worker and returns a function from a
     (rows, width) matrix to probabilities. Missing features arrive as zero.
     """
-    predict = predict_batch_udf(make_predict, return_type="double", batch_size=batch_size,
+    predict = predict_batch_udf(make_predict, return_type=DoubleType(), batch_size=batch_size,
                                 input_tensor_shapes=[[width]])
     filled = F.transform("features", lambda x: F.coalesce(x, F.lit(0.0)))
     return features.withColumn("spoof_prob", predict(filled))
