@@ -521,7 +521,9 @@ def audit_seal(spark, sf_dir):
 @query
 def audit_verify(spark, sf_dir):
     """After someone lowered the probability of the clearest cases."""
-    altered = _chained(spark, sf_dir).withColumn(
+    log = f"{scratch_dir(spark, 'log')}/entries"
+    _chained(spark, sf_dir).write.parquet(log)
+    altered = spark.read.parquet(log).withColumn(
         "spoof_prob", F.when(F.col("spoof_prob") >= 0.99, 0.5).otherwise(F.col("spoof_prob")))
     return audit.verify_chain(altered)
 
@@ -556,10 +558,18 @@ def content_ref_check(spark, sf_dir):
 # Explainability --------------------------------------------------------------
 
 def _flagged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of windows scored as likely spoofed, against the baseline of all frames."""
-    flagged = detect.spoof_score(fx.window_features(spark, sf_dir), fx.MODEL).where("spoof_prob >= 0.5").select(
-        "call_id", "window_no")
-    mel = fx.mel(spark, sf_dir).withColumn("window_no", fx.window_no())
+    """Cells of windows scored as likely spoofed, against the baseline of all frames.
+
+    Frame measures are needed for the score, the baseline and the cells; they
+    are written once to the shared folder, a fraction of the size of the samples.
+    """
+    folder = scratch_dir(spark, "frame-measures")
+    rows = fx.frames(spark, sf_dir).withColumn("window_no", fx.window_no())
+    detect.frame_measures(rows, SPEC, "window_no").write.parquet(folder)
+    stored = spark.read.parquet(folder)
+    scores = detect.spoof_score(detect.summarise_frames(stored, "window_no"), fx.MODEL)
+    flagged = scores.where("spoof_prob >= 0.5").select("call_id", "window_no")
+    mel = stored.select("call_id", "window_no", "frame_no", "mel_db")
     return explain.cells(mel.join(flagged, ["call_id", "window_no"], "left_semi"), explain.baseline(mel))
 
 

@@ -103,46 +103,68 @@ def _fold(level: DataFrame, parent: Column) -> DataFrame:
     ).withColumnRenamed("_parent", "_at")
 
 
-def faults(stored: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Entries that break their chain, with the reason.
-
-    ``altered``: the hash does not fit the fields. ``unlinked``: the previous
-    hash is not that of the entry before. ``missing_before``: entries before
-    this one are gone.
-    """
+def _checked(stored: DataFrame, block: int) -> DataFrame:
+    """Entries with ``_block`` and the ``reason`` they are faulty, judged inside their block."""
     rows = stored.withColumn("_block", block_of(F.col("seq"), block))
     order = Window.partitionBy("call_id", "_block").orderBy("seq")
     first = (F.col("seq") - 1) % block == 0
-    sizes = rows.groupBy("call_id", "_block").agg(F.count("*").alias("_before"))
-    before = sizes.select("call_id", (F.col("_block") + 1).alias("_block"), "_before")
-    local = (
-        rows.withColumn("_last_seq", F.lag("seq").over(order))
-        .withColumn("_last_hash", F.lag("entry_hash").over(order))
-        .join(before, ["call_id", "_block"], "left")
-    )
-    opens = F.col("_last_seq").isNull()
-    gap = F.when(opens, ~first | ((F.col("_block") > 0) & (F.coalesce("_before", F.lit(0)) < block))
-                 ).otherwise(F.col("seq") != F.col("_last_seq") + 1)
-    expected = F.when(first, F.lit(GENESIS)).otherwise(F.col("_last_hash"))
+    last_seq, last_hash = F.lag("seq").over(order), F.lag("entry_hash").over(order)
+    gap = F.when(last_seq.isNull(), ~first).otherwise(F.col("seq") != last_seq + 1)
+    expected = F.when(first, F.lit(GENESIS)).otherwise(last_hash)
     reason = (
         F.when(link(F.col("prev_hash"), entry_digest()) != F.col("entry_hash"), "altered")
         .when(gap, "missing_before")
         .when(F.col("prev_hash") != expected, "unlinked")
     )
-    return local.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(
-        "call_id", "seq", "event_id", "reason")
+    return rows.withColumn("reason", reason)
+
+
+def _blocks(checked: DataFrame, block: int) -> DataFrame:
+    """One row per block: its first entry, its faults, and whether the block before is short.
+
+    The only step ordered by call; it sees one row per ``block`` entries.
+    """
+    summary = checked.groupBy("call_id", "_block").agg(
+        F.count("*").alias("_n"), F.count("reason").alias("_faulty"),
+        F.min("seq").alias("_seq"), F.min_by("event_id", "seq").alias("_event_id"),
+        F.min_by("reason", "seq").alias("_first_reason"),
+        F.min(F.when(F.col("reason").isNotNull(), F.struct("seq", "reason"))).alias("_fault"))
+    order = Window.partitionBy("call_id").orderBy("_block")
+    follows = (F.lag("_block").over(order) == F.col("_block") - 1) & (F.lag("_n").over(order) == block)
+    torn = (F.col("_block") > 0) & ~F.coalesce(follows, F.lit(False)) & F.col("_first_reason").isNull()
+    return summary.withColumn("_torn", torn)
+
+
+def faults(stored: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Entries that break their chain, with the reason.
+
+    ``altered``: the hash does not fit the fields. ``unlinked``: the previous
+    hash is not that of the entry before. ``missing_before``: entries before
+    this one are gone.
+    """
+    checked = _checked(stored, block)
+    inside = checked.where(F.col("reason").isNotNull()).select("call_id", "seq", "event_id", "reason")
+    between = _blocks(checked, block).where("_torn").select(
+        "call_id", F.col("_seq").alias("seq"), F.col("_event_id").alias("event_id"),
+        F.lit("missing_before").alias("reason"))
+    return inside.unionByName(between)
 
 
 def verify_chain(stored: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Per call: entries checked, faulty entries, and the first of them (null if sound)."""
-    broken = faults(stored, block).groupBy("call_id").agg(
-        F.count("*").alias("_n"), F.min("seq").alias("first_broken_seq"),
-        F.min_by("reason", "seq").alias("reason"))
+    """Per call: entries checked, faulty entries, and the first of them (null if sound).
+
+    One pass over the log and one shuffle of it, on (call, block).
+    """
+    torn = F.when(F.col("_torn"), F.struct(F.col("_seq").alias("seq"), F.lit("missing_before").alias("reason")))
     return (
-        stored.groupBy("call_id").agg(F.count("*").alias("n_entries"))
-        .join(broken, "call_id", "left")
-        .select("call_id", "n_entries", F.coalesce("_n", F.lit(0)).alias("n_broken"),
-                "first_broken_seq", "reason")
+        _blocks(_checked(stored, block), block)
+        .withColumn("_fault", F.least("_fault", torn))
+        .groupBy("call_id")
+        .agg(F.sum("_n").alias("n_entries"),
+             F.sum(F.col("_faulty") + F.col("_torn").cast("bigint")).alias("n_broken"),
+             F.min("_fault").alias("_fault"))
+        .select("call_id", "n_entries", "n_broken",
+                F.col("_fault.seq").alias("first_broken_seq"), F.col("_fault.reason").alias("reason"))
     )
 
 

@@ -36,25 +36,36 @@ def assemble(spectral: DataFrame, prosody: DataFrame, on: Sequence[str],
         "features", F.array(*[F.col(n).cast("double") for n in names]))
 
 
-def window_features(frames: DataFrame, spec: FrameSpec, *by: str) -> DataFrame:
-    """Spectral and prosodic window features straight from frames.
+def frame_measures(frames: DataFrame, spec: FrameSpec, *by: str) -> DataFrame:
+    """All spectral and prosodic measures per frame, with ``mel_db``.
 
-    The same columns as the assembled tables, for when those are not stored: the
-    Arrow functions run in one Python pass, the neighbouring frame is looked up
-    once for all measures, and there is one shuffle before the aggregation.
+    The Arrow functions run in one Python pass, and the neighbouring frame is
+    looked up once for all measures, with one shuffle.
     """
-    spectra = spectral.mel_spectrogram(spectral.vocoder_artifacts(
-        frames.select("call_id", "frame_no", *by,
-                      fs.spectrum(F.col("samples")).alias("_s"), pitch_track(F.col("samples"), spec).alias("_p"))
-        .select("call_id", "frame_no", *by, F.col("_s.power").alias("power"), F.col("_s.phase").alias("phase"),
-                "_p.peak", "_p.f0", F.col("_p.f0").isNotNull().alias("voiced")), spec), spec)
-    paired = spectral.with_previous_frame(spectra, "power", "phase", "mel_db", *prosody.STEP_COLUMNS)
-    measured = paired.withColumns({
-        "flux": spectral.flux_of(), "phase_dev": spectral.phase_dev_of(spec), **prosody.steps_of()})
-    return measured.groupBy("call_id", *by).agg(
+    measured = frames.select(
+        "call_id", "frame_no", *by, fs.spectrum(F.col("samples")).alias("_s"),
+        pitch_track(F.col("samples"), spec).alias("_p"))
+    spectra = measured.select(
+        "call_id", "frame_no", *by, F.col("_s.power").alias("power"), F.col("_s.phase").alias("phase"),
+        "_p.peak", "_p.f0", F.col("_p.f0").isNotNull().alias("voiced"))
+    banded = spectral.mel_spectrogram(spectral.vocoder_artifacts(spectra, spec), spec)
+    paired = spectral.with_previous_frame(banded, "power", "phase", "mel_db", *prosody.STEP_COLUMNS)
+    return paired.withColumns({
+        "flux": spectral.flux_of(), "phase_dev": spectral.phase_dev_of(spec), **prosody.steps_of(),
+    }).drop("_prev", "power", "phase")
+
+
+def summarise_frames(measures: DataFrame, *by: str) -> DataFrame:
+    """Spectral and prosodic features per call and window."""
+    return measures.groupBy("call_id", *by).agg(
         *[F.avg(m).alias(f"{m}_mean") for m in MEASURES], *prosody.summary_aggs())
 
 
+def window_features(frames: DataFrame, spec: FrameSpec, *by: str) -> DataFrame:
+    """Window features straight from frames, for when no tables are stored in between."""
+    return summarise_frames(frame_measures(frames, spec, *by), *by)
+
+
 def logistic(model: LogisticModel) -> Column:
     """Probability from named columns; a missing feature contributes nothing."""
     score = F.lit(model.intercept)

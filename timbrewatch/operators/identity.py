@@ -8,7 +8,8 @@ from timbrewatch.functions.vectors import cosine, mean_vector, quantised_text, u
 from timbrewatch.plans.nearest import nearest_by_tiles, nearest_in_matrix
 
 HASH_SCALE = 1_000_000
-MATRIX_ROWS = 50_000
+# Most numbers a registry may hold to be sent to every executor: 32 MB of doubles.
+MATRIX_CELLS = 4_000_000
 
 
 def enroll(vectors: DataFrame) -> DataFrame:
@@ -42,14 +43,15 @@ def verify(probes: DataFrame, voiceprints: DataFrame, threshold: float) -> DataF
 
 
 def identify(probes: DataFrame, voiceprints: DataFrame, k: int, probe_id: str = "vec_id",
-             matrix_rows: int = MATRIX_ROWS) -> DataFrame:
+             matrix_cells: int = MATRIX_CELLS) -> DataFrame:
     """The k most similar enrolled identities of each probe, exactly.
 
-    The registry is counted up to the bound: within it, it becomes one matrix
+    The registry is measured up to the bound: within it, it becomes one matrix
     on every executor; beyond it, tiles are joined.
     """
-    small = voiceprints.select("did").limit(matrix_rows + 1).count() <= matrix_rows
-    search = nearest_in_matrix if small else nearest_by_tiles
+    measured = voiceprints.select(F.size("embedding").alias("n")).limit(matrix_cells + 1)
+    cells = measured.agg(F.sum("n").alias("n")).first()["n"] or 0
+    search = nearest_in_matrix if cells <= matrix_cells else nearest_by_tiles
     return search(probes, voiceprints, probe_id, k)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from timbrewatch.config import FrameSpec
 from timbrewatch.functions.prosody import pitch_track
 from timbrewatch.operators.spectral import with_previous_frame
-from timbrewatch.plans.segments import Segments, lag_struct, running_sum, time_segment
+from timbrewatch.plans.segments import Segments, micros, number_runs, time_segment
 
 
 def f0_contour(frames: DataFrame, spec: FrameSpec) -> DataFrame:
@@ -82,16 +82,6 @@ def prosody_summary(contour: DataFrame, *by: str) -> DataFrame:
     return with_steps(contour).groupBy("call_id", *by).agg(*summary_aggs())
 
 
-def runs(df: DataFrame, starts: Column, spec: Segments, prev_cols: list[str]) -> DataFrame:
-    """Number consecutive runs per key: ``run`` counts rows where ``starts`` holds.
-
-    ``starts`` may refer to the preceding row as ``_prev``.
-    """
-    marked = lag_struct(df, spec, prev_cols, "_prev").withColumn(
-        "_start", F.coalesce(starts, F.lit(True)).cast("bigint"))
-    return running_sum(marked, spec, F.col("_start"), "run").drop("_start", "_prev")
-
-
 def micro_pauses(chunks: DataFrame, floor: float, min_len: int, level: str = "amplitude",
                  segment_seconds: int = 60) -> DataFrame:
     """Silent runs of at least ``min_len`` consecutive chunks, with start, end and count.
@@ -100,7 +90,7 @@ def micro_pauses(chunks: DataFrame, floor: float, min_len: int, level: str = "am
     """
     spec = Segments(["call_id"], ["event_ts", "seq"], time_segment("event_ts", segment_seconds))
     flagged = chunks.select("call_id", "event_ts", "seq", (F.col(level) < floor).alias("silent"))
-    numbered = runs(flagged, F.col("silent") != F.col("_prev.silent"), spec, ["silent"])
+    numbered = number_runs(flagged, spec, ["silent"], F.col("silent") != F.col("_prev.silent"), "run")
     return (
         numbered.where("silent").groupBy("call_id", "run")
         .agg(F.min("event_ts").alias("pause_start"), F.max("event_ts").alias("pause_end"),
@@ -118,10 +108,9 @@ def speech_runs(voiced: DataFrame, gap_seconds: int, segment_seconds: int = 60)
     last row.
     """
     spec = Segments(["call_id"], ["event_ts", "seq"], time_segment("event_ts", segment_seconds))
-    wait = F.unix_micros(F.col("event_ts").cast("timestamp")) - F.unix_micros(
-        F.col("_prev.event_ts").cast("timestamp"))
-    numbered = runs(voiced.select("call_id", "event_ts", "seq"),
-                    wait >= gap_seconds * 1_000_000, spec, ["event_ts"])
+    wait = micros(F.col("event_ts")) - micros(F.col("_prev.event_ts"))
+    numbered = number_runs(voiced.select("call_id", "event_ts", "seq"), spec, ["event_ts"],
+                           wait >= gap_seconds * 1_000_000, "run")
     return (
         numbered.groupBy("call_id", "run")
         .agg(F.min("event_ts").alias("run_start"), F.max("event_ts").alias("_last"),

@@ -125,6 +125,43 @@ def last_known(df: DataFrame, spec: Segments, value: str, name: str) -> DataFram
     )
 
 
+def number_runs(df: DataFrame, spec: Segments, cols: Sequence[str], starts: Column,
+                name: str) -> DataFrame:
+    """Add ``name``: the number of the run each row belongs to, counted from 1 per key.
+
+    ``starts`` says whether a row opens a new run; it may use ``cols`` and, as
+    ``_prev``, the same columns of the row before. The first row of a key always
+    opens one. Whether the first row of a segment opens a run is settled on the
+    summaries, so rows are shuffled once.
+    """
+    rows = spec.cut(df)
+    item = F.struct(*cols)
+    inner = F.when(F.col("_prev").isNotNull(), starts.cast("bigint"))
+    local = (
+        rows.withColumn("_prev", F.lag(item).over(spec.local))
+        .withColumn("_opens", F.coalesce(inner, F.lit(0)))
+        .withColumn("_near", F.sum("_opens").over(spec.local.rowsBetween(Window.unboundedPreceding, 0)))
+        .drop("_prev", "_opens")
+    )
+    before = spec.across.rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        local.groupBy(*spec.by).agg(
+            F.max("_near").alias("_count"), F.min_by(item, spec.position).alias("_head"),
+            F.max_by(item, spec.position).alias("_tail"))
+        .withColumn("_prev", F.lag("_tail").over(spec.across))
+        .select(*spec.by, "_count", "_prev", *[F.col("_head")[c].alias(c) for c in cols if c not in spec.by])
+        .withColumn("_open", F.coalesce(starts, F.lit(True)).cast("bigint"))
+        .withColumn("_base", F.col("_open") + F.coalesce(
+            F.sum(F.col("_count") + F.col("_open")).over(before), F.lit(0)))
+        .select(*spec.by, "_base")
+    )
+    return (
+        local.join(carry, spec.by, "left")
+        .withColumn(name, F.col("_near") + F.col("_base"))
+        .drop("_near", "_base", SEG)
+    )
+
+
 def adjacent_struct(df: DataFrame, keys: Sequence[str], index: str, width: int,
                     cols: Sequence[str], name: str) -> DataFrame:
     """Add ``name``: struct of ``cols`` from the row numbered one less, or null.

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, functions as F
 
 from timbrewatch.operators.audit import ENTRY, chain, heads_of
 from timbrewatch.sources.clips import exists
 
 
-def read_audit(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
-
-
-def append_audit(entries: DataFrame, path: str, segment_seconds: int = 3600) -> None:
+def append_audit(entries: DataFrame, path: str, segment_seconds: int = 3600,
+                 max_call_days: int | None = None) -> None:
     """Chain the entries not stored yet onto their calls and append them.
 
     Safe to repeat: entries already stored are removed by id, and one Spark
-    write is one commit, so a replayed batch adds nothing. The id check reads the
-    id and day columns only, and only of the days that occur in the batch.
+    write is one commit, so a replayed batch adds nothing. Only the id column of
+    the days in the batch is read for that. Where calls are known to end within
+    ``max_call_days``, the search for the last entry of a call is limited to
+    that many days too; otherwise three columns of the whole log are read.
     """
     spark = entries.sparkSession
     # A redelivered verdict within the batch counts once.
@@ -27,9 +28,15 @@ def append_audit(entries: DataFrame, path: str, segment_seconds: int = 3600) ->
     dated = once.withColumn("event_date", F.to_date("event_ts"))
     heads = None
     if exists(spark, path):
-        stored = spark.read.parquet(path)
-        dated = dated.join(stored.select("event_id", "event_date"), ["event_id", "event_date"], "left_anti")
-        heads = heads_of(stored.join(dated.select("call_id").distinct(), "call_id", "left_semi"))
-    chained = chain(dated, heads, segment_seconds=segment_seconds)
-    chained.repartition("event_date", F.floor(F.col("seq") / 100_000)).write.mode("append").partitionBy(
-        "event_date").parquet(path)
+        days = dated.agg(F.min("event_date").alias("lo"), F.max("event_date").alias("hi")).first()
+        if days["lo"] is None:
+            return
+        log = spark.read.parquet(path)
+        same_days = log.where(F.col("event_date").between(days["lo"], days["hi"]))
+        dated = dated.join(same_days.select("event_id", "event_date"), ["event_id", "event_date"], "left_anti")
+        if max_call_days is not None:
+            log = log.where(F.col("event_date") >= days["lo"] - timedelta(days=max_call_days))
+        heads = heads_of(log.join(dated.select("call_id").distinct(), "call_id", "left_semi"))
+    # Up to one file per day and slice of the batch, whatever the number of tasks.
+    chain(dated, heads, segment_seconds=segment_seconds).repartition("event_date").write.mode(
+        "append").partitionBy("event_date").parquet(path)

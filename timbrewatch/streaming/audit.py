@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from timbrewatch.sources.audit_store import append_audit
 
 
-def audit_sink(path: str, segment_seconds: int = 3600):
+def audit_sink(path: str, segment_seconds: int = 3600, max_call_days: int | None = None):
     """Batch handler that chains and appends a micro-batch of audit entries.
 
     Late entries join the end of their call's chain: chain order is arrival
@@ -15,6 +15,11 @@ def audit_sink(path: str, segment_seconds: int = 3600):
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        append_audit(batch, path, segment_seconds)
+        # Read several times below; kept so that the source is read once.
+        batch.persist()
+        try:
+            append_audit(batch, path, segment_seconds, max_call_days)
+        finally:
+            batch.unpersist()
 
     return store
