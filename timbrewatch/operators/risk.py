@@ -29,13 +29,20 @@ def enrich(scores: DataFrame, meta: DataFrame, cfg: RiskConfig) -> DataFrame:
 
 
 def weighted_risk(factors: Mapping[str, Column], weights: Mapping[str, float]) -> Column:
-    """Weighted mean of the factors that are present, clamped to [0, 1]."""
-    total, present = F.lit(0.0), F.lit(0.0)
+    """Weighted mean of the factors that are present, clamped to [0, 1].
+
+    The plain sum is null as soon as a factor is missing; only then is the
+    second form evaluated. A filter on the result, which Spark pushes down by
+    repeating the expression, thus computes each factor once for most rows.
+    """
+    plain, total, present = F.lit(0.0), F.lit(0.0), F.lit(0.0)
     for name, weight in weights.items():
         value = factors[name]
-        total = total + F.coalesce(value, F.lit(0.0)) * weight
+        plain = plain + value * weight
+        total = total + F.coalesce(value * weight, F.lit(0.0))
         present = present + F.when(value.isNotNull(), F.lit(weight)).otherwise(0.0)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), total / F.nullif(present, F.lit(0.0))))
+    mean = F.coalesce(plain / sum(weights.values()), F.try_divide(total, present))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean))
 
 
 def risk(df: DataFrame, cfg: RiskConfig) -> DataFrame:
