@@ -120,18 +120,18 @@ def _checked(stored: DataFrame, block: int) -> DataFrame:
 
 
 def _blocks(checked: DataFrame, block: int) -> DataFrame:
-    """One row per block: its first entry, its faults, and whether the block before is short.
+    """One row per block: its first entry, its faults, and whether the block before lost its end.
 
     The only step ordered by call; it sees one row per ``block`` entries.
     """
     summary = checked.groupBy("call_id", "_block").agg(
         F.count("*").alias("_n"), F.count("reason").alias("_faulty"),
-        F.min("seq").alias("_seq"), F.min_by("event_id", "seq").alias("_event_id"),
-        F.min_by("reason", "seq").alias("_first_reason"),
+        F.min("seq").alias("_seq"), F.max("seq").alias("_last"), F.min_by("event_id", "seq").alias("_event_id"),
+        F.min(F.struct("seq", "reason"))["reason"].alias("_first_reason"),
         F.min(F.when(F.col("reason").isNotNull(), F.struct("seq", "reason"))).alias("_fault"))
     order = Window.partitionBy("call_id").orderBy("_block")
-    follows = (F.lag("_block").over(order) == F.col("_block") - 1) & (F.lag("_n").over(order) == block)
-    torn = (F.col("_block") > 0) & ~F.coalesce(follows, F.lit(False)) & F.col("_first_reason").isNull()
+    follows = F.coalesce(F.lag("_last").over(order), F.lit(0)) == F.col("_block") * block
+    torn = ~follows & F.col("_first_reason").isNull()
     return summary.withColumn("_torn", torn)
 
 

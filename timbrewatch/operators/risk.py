@@ -29,11 +29,11 @@ def enrich(scores: DataFrame, meta: DataFrame, cfg: RiskConfig) -> DataFrame:
 
 
 def weighted_risk(factors: Mapping[str, Column], weights: Mapping[str, float]) -> Column:
-    """Weighted mean of the factors that are present, clamped to [0, 1].
+    """Weighted mean of the factors that are present, clamped to [0, 1]; null without any.
 
     The plain sum is null as soon as a factor is missing; only then is the
-    second form evaluated. A filter on the result, which Spark pushes down by
-    repeating the expression, thus computes each factor once for most rows.
+    second form evaluated. Spark pushes a filter on the result down by repeating
+    the expression, so it matters how often each factor occurs in it.
     """
     plain, total, present = F.lit(0.0), F.lit(0.0), F.lit(0.0)
     for name, weight in weights.items():
@@ -42,7 +42,8 @@ def weighted_risk(factors: Mapping[str, Column], weights: Mapping[str, float]) -
         total = total + F.coalesce(value * weight, F.lit(0.0))
         present = present + F.when(value.isNotNull(), F.lit(weight)).otherwise(0.0)
     mean = F.coalesce(plain / sum(weights.values()), F.try_divide(total, present))
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean))
+    # The clamp alone would turn "no factor at all" into a bound.
+    return F.when(mean.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean)))
 
 
 def risk(df: DataFrame, cfg: RiskConfig) -> DataFrame:
