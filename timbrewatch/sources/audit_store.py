@@ -25,18 +25,27 @@ def append_audit(entries: DataFrame, path: str, segment_seconds: int = 3600,
     rest = [c for c in ENTRY if c != "event_id"]
     once = entries.groupBy("event_id").agg(F.min(F.struct(*rest)).alias("_e")).select(
         "event_id", "_e.*").select(*ENTRY)
-    dated = once.withColumn("event_date", F.to_date("event_ts"))
-    heads = None
-    if exists(spark, path):
+    # Read several times below; a lost copy is computed again from the batch.
+    dated = once.withColumn("event_date", F.to_date("event_ts")).persist()
+    fresh = dated
+    try:
         days = dated.agg(F.min("event_date").alias("lo"), F.max("event_date").alias("hi")).first()
         if days["lo"] is None:
             return
-        log = spark.read.parquet(path)
-        same_days = log.where(F.col("event_date").between(days["lo"], days["hi"]))
-        dated = dated.join(same_days.select("event_id", "event_date"), ["event_id", "event_date"], "left_anti")
-        if max_call_days is not None:
-            log = log.where(F.col("event_date") >= days["lo"] - timedelta(days=max_call_days))
-        heads = heads_of(log.join(dated.select("call_id").distinct(), "call_id", "left_semi"))
-    # Up to one file per day and slice of the batch, whatever the number of tasks.
-    chain(dated, heads, segment_seconds=segment_seconds).repartition("event_date").write.mode(
-        "append").partitionBy("event_date").parquet(path)
+        heads = None
+        if exists(spark, path):
+            log = spark.read.parquet(path)
+            same_days = log.where(F.col("event_date").between(days["lo"], days["hi"]))
+            fresh = dated.join(
+                same_days.select("event_id", "event_date"), ["event_id", "event_date"], "left_anti").persist()
+            if fresh.isEmpty():
+                return
+            if max_call_days is not None:
+                log = log.where(F.col("event_date") >= days["lo"] - timedelta(days=max_call_days))
+            heads = heads_of(log.join(fresh.select("call_id").distinct(), "call_id", "left_semi"))
+        # Rebalancing gives a busy day several writers and a quiet one a single file.
+        chain(fresh, heads, segment_seconds=segment_seconds).hint("rebalance", "event_date").write.mode(
+            "append").partitionBy("event_date").parquet(path)
+    finally:
+        fresh.unpersist()
+        dated.unpersist()

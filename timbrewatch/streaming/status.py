@@ -57,7 +57,10 @@ def transitions_sink(path: str, ts: str, tie: str, segment_seconds: int):
         rows = batch.select("call_id", F.explode("_rows").alias("_r")).select("call_id", "_r.*")
         edges = transitions(rows, ts, tie, segment_seconds)
         if exists(spark, path):
-            past = spark.read.parquet(path).where(F.col("batch_id") < batch_id)
+            past = (
+                spark.read.parquet(path).where(F.col("batch_id") < batch_id)
+                .join(batch.select("call_id").distinct(), "call_id", "left_semi")
+            )
             last = past.groupBy("call_id").agg(
                 F.max_by("to_tier", F.struct(ts, tie)).alias("_last"))
             edges = (
