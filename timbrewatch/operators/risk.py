@@ -28,30 +28,32 @@ def enrich(scores: DataFrame, meta: DataFrame, cfg: RiskConfig) -> DataFrame:
         "mismatch", F.col("speaker_sim") < cfg.mismatch_threshold)
 
 
-def weighted_risk(factors: Mapping[str, Column], weights: Mapping[str, float]) -> Column:
-    """Weighted mean of the factors that are present, clamped to [0, 1]; null without any.
-
-    The plain sum is null as soon as a factor is missing; only then is the
-    second form evaluated. Spark pushes a filter on the result down by repeating
-    the expression, so it matters how often each factor occurs in it.
-    """
-    plain, total, present = F.lit(0.0), F.lit(0.0), F.lit(0.0)
+def weighted_mean(factors: Mapping[str, Column], weights: Mapping[str, float]) -> Column:
+    """Weighted mean of the factors that are present; null without any."""
+    total, present = F.lit(0.0), F.lit(0.0)
     for name, weight in weights.items():
         value = factors[name]
-        plain = plain + value * weight
         total = total + F.coalesce(value * weight, F.lit(0.0))
         present = present + F.when(value.isNotNull(), F.lit(weight)).otherwise(0.0)
-    mean = F.coalesce(plain / sum(weights.values()), F.try_divide(total, present))
-    # The clamp alone would turn "no factor at all" into a bound.
-    return F.when(mean.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean)))
+    return F.try_divide(total, present)
 
 
 def risk(df: DataFrame, cfg: RiskConfig) -> DataFrame:
-    """Add ``risk_score`` from ``spoof_prob``, ``speaker_sim`` and, if weighted, ``context_risk``."""
+    """Add ``risk_score`` in [0, 1] from ``spoof_prob``, ``speaker_sim`` and, if weighted, ``context_risk``.
+
+    A missing factor leaves its weight to the others. The score leaves through
+    a one-row generator: Spark pushes filters on tiers down by repeating the
+    expressions behind them, which made methods too large for the JIT; through
+    the generator it pushes filters on other columns only.
+    """
     factors = {"spoof": F.col("spoof_prob"), "mismatch": 1.0 - F.col("speaker_sim")}
     if cfg.w_context > 0:
         factors["context"] = F.col("context_risk")
-    return df.withColumn("risk_score", weighted_risk(factors, cfg.weights))
+    mean = F.col("_mean")
+    # The clamp alone would turn "no factor at all" into a bound.
+    score = F.when(mean.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean)))
+    return df.withColumn("_mean", weighted_mean(factors, cfg.weights)).select(
+        *df.columns, F.inline(F.array(F.struct(score.alias("risk_score")))))
 
 
 def tier(df: DataFrame, cfg: RiskConfig) -> DataFrame:
