@@ -46,11 +46,10 @@ def identify(probes: DataFrame, voiceprints: DataFrame, k: int, probe_id: str =
              matrix_cells: int = MATRIX_CELLS) -> DataFrame:
     """The k most similar enrolled identities of each probe, exactly.
 
-    The registry is measured up to the bound: within it, it becomes one matrix
-    on every executor; beyond it, tiles are joined.
+    The registry is measured first: within the bound it becomes one matrix on
+    every executor; beyond it, tiles are joined.
     """
-    measured = voiceprints.select(F.size("embedding").alias("n")).limit(matrix_cells + 1)
-    cells = measured.agg(F.sum("n").alias("n")).first()["n"] or 0
+    cells = voiceprints.agg(F.sum(F.size("embedding")).alias("n")).first()["n"] or 0
     search = nearest_in_matrix if cells <= matrix_cells else nearest_by_tiles
     return search(probes, voiceprints, probe_id, k)
 
