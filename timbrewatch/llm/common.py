@@ -1,4 +1,8 @@
-"""Shared column expressions and joins of the text operators."""
+"""Shared column expressions and joins of the text operators.
+
+Arrays made by expressions are exploded with the ``_outer`` forms: the plain ones
+add a size filter, which is pushed below the array and computes it anew per element.
+"""
 
 from __future__ import annotations
 
