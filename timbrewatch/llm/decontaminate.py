@@ -32,11 +32,14 @@ def with_windows(df: DataFrame, lengths: list[int]) -> DataFrame:
     """Add ``windows``: array<struct<size,pos,h>> over the canonical form of ``tokens``."""
     canon = F.transform("tokens", lambda t: F.when(F.startswith(t, F.lit("\x01")), F.substring(t, 1, 2)).otherwise(t))
     df = df.withColumn("canon", canon)
-    parts = [F.transform(F.sequence(F.lit(1), F.size("canon") - (n - 1)), lambda i, n=n: F.struct(
-        F.lit(n).alias("size"), i.alias("pos"), F.xxhash64(F.slice("canon", i, n)).alias("h"))) for n in lengths]
+
+    def rolling(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size("canon") - (n - 1)), lambda i: F.struct(
+            F.lit(n).alias("size"), i.alias("pos"), F.xxhash64(F.slice("canon", i, n)).alias("h")))
+
     none = F.array().cast("array<struct<size:int,pos:int,h:bigint>>")
     return df.withColumn("windows", F.concat(none, *(
-        F.when(F.size("canon") >= n, p).otherwise(none) for n, p in zip(lengths, parts))))
+        F.when(F.size("canon") >= n, rolling(n)).otherwise(none) for n in lengths)))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cover: float = 0.5,
