@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -151,7 +152,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 0, records_pe
 
     Each batch becomes an ARC file (version 2 where the digest of its first
     page is odd, else 1) and is converted. Records are UTF-8 text, so the text
-    writer makes plain WARC files in any store; a lost task's file is written
+    writer makes gzipped WARC files in any store; a lost task's file is written
     anew. Only payloads travel by page_id, once. Null html is an empty payload,
     null url ``unknown:``; repeated rows are written repeatedly.
     """
@@ -175,7 +176,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 0, records_pe
                 yield pd.DataFrame({"value": [warc_record(r, "" if i is None else str(i), f).decode()[:-1] for r, i, f in records]})
 
     (rows.withColumn("page_id", F.col("page_id").cast("decimal(20,0)")).withColumn("refers_to", F.col("refers_to").cast("decimal(20,0)"))
-     .mapInPandas(run, "value string").write.option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path))
+     .mapInPandas(run, "value string").write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path))
 
 
 def read_archives(pages: DataFrame, path: str) -> DataFrame:
@@ -187,7 +188,7 @@ def read_archives(pages: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for data in batch["content"]:
                 rows = []
-                for head, block in read_warc(bytes(data)):
+                for head, block in read_warc(gzip.decompress(data)):
                     payload = block.partition(b"\r\n\r\n")[2]
                     sha, revisit = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"] == "revisit"
                     if not revisit and digest(payload) != sha:
