@@ -101,6 +101,35 @@ def test_windows_cross_chunk_borders(spark):
     assert [r["samples"] for r in got] == [signal[i:i + 20] for i in (0, 10, 20)]
 
 
+def test_fractional_cells_keep_the_clock(spark):
+    rate, day = 22_050, 1_704_067_200
+    rows = spark.createDataFrame([("c", day * 10**6, rate, [float(i) for i in range(rate)])],
+                                 "call_id string, us bigint, sample_rate int, samples array<double>")
+    chunks = rows.withColumn("event_ts", F.timestamp_micros("us")).drop("us")
+    got = windows.window_chunks(chunks, 20, 10).where("complete").orderBy("window_start").collect()
+    assert len(got) == 99 and [r["samples"][0] for r in got] == [float(i * 441 // 2) for i in range(99)]
+    assert got[-1]["samples"][-1] == rate - 1
+
+
+def test_overlap_does_not_hide_a_hole(spark):
+    signal = [float(i) for i in range(20)]
+    torn = chunked(spark, [(0, signal[:10]), (5_000, signal[5:10]), (15_000, signal[15:])])
+    row = windows.window_chunks(torn, 20, 20).first()
+    assert not row["complete"] and row["samples"] == signal[:10] + signal[15:]
+    twice = chunked(spark, [(0, signal[:10]), (5_000, signal[5:])])
+    row = windows.window_chunks(twice, 20, 20).first()
+    assert row["complete"] and row["samples"] == signal
+
+
+def test_ragged_frames_are_refused():
+    import pyarrow as pa
+
+    from timbrewatch.functions.spectral import matrix
+
+    with pytest.raises(ValueError):
+        matrix(pa.array([[1.0, 2.0, 3.0], [4.0, 5.0, 6.0, 7.0, 8.0]]))
+
+
 def test_missing_chunk_leaves_windows_incomplete(spark):
     signal = [float(i) for i in range(40)]
     chunks = chunked(spark, [(0, signal[:12]), (15_000, signal[15:40])])

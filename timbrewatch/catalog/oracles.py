@@ -177,12 +177,12 @@ PARTS = {
         select c.*, d.day - to_days(i) as window_start, d.day - to_days(i) + interval 2 days as window_end
         from chunks c, lateral (select date_trunc('day', c.event_ts) as day) d, (select unnest([0, 1]) as i)""",
     "sample_windows": """
-        select call_id, (pos // 48 - i) * 3000 as start_us, pos, x
+        select call_id, (pos // 48 - i) * 3000 + 1704067200000000 as start_us, pos, x
         from (select call_id, frame_no * 64 + n as pos, x from samples), (select unnest([0, 1]) as i)""",
     "points": """
         select threshold, sum(p) over (order by threshold desc) / sum(p) over () as tpr,
                sum(n) over (order by threshold desc) / sum(n) over () as fpr
-        from (select floor(risk_score * 10000) / 10000 as threshold,
+        from (select round(risk_score, 8) as threshold,
                      count(*) filter (truth = 'synthetic') as p, count(*) filter (truth = 'authentic') as n
               from trials where risk_score is not null group by 1)""",
 }
@@ -252,7 +252,7 @@ oracle("cross_chunk_windows", "frames samples sample_windows", f"""
     select call_id, start_us, {SAMPLE_AGGS} from sample_windows group by call_id, start_us""")
 oracle("cross_chunk_windows_stream", "frames samples sample_windows", f"""
     select call_id, start_us, {SAMPLE_AGGS} from sample_windows
-    where start_us + 6000 <= (select max(pos // 48 * 3) - 12 from (select frame_no * 64 + n as pos from samples)) * 1000
+    where start_us - 1704067200000000 + 6000 <= (select max(pos // 48 * 3) - 12 from (select frame_no * 64 + n as pos from samples)) * 1000
     group by call_id, start_us""")
 oracle("chunk_gap_check", CHUNKS, """
     select call_id, event_ts, seq, step, case when step > 1 then 'missing' else 'disorder' end as problem
@@ -368,7 +368,7 @@ oracle("tier_transition", VERDICTS, EDGES)
 oracle("tier_transition_stream", VERDICTS, f"""
     select * from ({EDGES}) where date_trunc('hour', event_ts) + interval 1 hour <= {LAST_TS} - interval 1 day""")
 oracle("challenge_queue", VERDICTS, f"""
-    select call_id, event_ts, risk_score from ({STATUS}) where tier = 'MEDIUM' order by event_ts desc, call_id limit 20""")
+    select call_id, event_ts, risk_score from ({STATUS}) where tier = 'MEDIUM'""")
 
 # Transaction guard
 oracle("txn_hold", "txns flags", """

@@ -185,11 +185,15 @@ def sliding_window_stream(spark, sf_dir):
     return to_table(closed, "sliding", spark).withColumns(plain_ts("window_start", "window_end"))
 
 
+#: 2024-01-01 in microseconds: present-day sample clocks.
+FRAMES_FROM_US = 1_704_067_200_000_000
+
+
 def _frame_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames as chunks of 4 ms, end to end."""
+    """Frames as chunks of 4 ms, end to end, from the start of 2024."""
     step_us = SPEC.length * 1_000_000 // SPEC.sample_rate
     return fx.frames(spark, sf_dir).select(
-        "call_id", F.timestamp_micros(F.col("frame_no") * step_us).alias("event_ts"),
+        "call_id", F.timestamp_micros(F.col("frame_no") * step_us + FRAMES_FROM_US).alias("event_ts"),
         F.lit(SPEC.sample_rate).alias("sample_rate"), "samples")
 
 
@@ -459,7 +463,7 @@ def tier_transition_stream(spark, sf_dir):
 @query
 def challenge_queue(spark, sf_dir):
     status = risk.call_status(_verdicts(spark, sf_dir), "event_ts", "event_id")
-    return risk.challenges(status, 20, "event_ts").select("call_id", "event_ts", F.round("risk_score", 8).alias("risk_score"))
+    return risk.challenges(status, ts="event_ts").select("call_id", "event_ts", F.round("risk_score", 8).alias("risk_score"))
 
 
 # Transaction guard -----------------------------------------------------------
@@ -615,12 +619,13 @@ def confusion_by_generator(spark, sf_dir):
 
 @query
 def roc_points(spark, sf_dir):
-    return trials.roc(_trials(spark, sf_dir)).withColumns(rounded(6, "tpr", "fpr"))
+    points = trials.roc(_trials(spark, sf_dir).withColumns(rounded(8, "risk_score")))
+    return points.select("threshold", "tpr", "fpr").withColumns(rounded(6, "tpr", "fpr"))
 
 
 @query
 def roc_eer(spark, sf_dir):
-    return trials.roc_summary(trials.roc(_trials(spark, sf_dir))).withColumns(rounded(6, "auc", "eer"))
+    return trials.roc_summary(trials.roc(_trials(spark, sf_dir).withColumns(rounded(8, "risk_score")))).withColumns(rounded(6, "auc", "eer"))
 
 
 @query

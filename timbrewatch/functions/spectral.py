@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from timbrewatch.config import FrameSpec
@@ -17,13 +18,13 @@ POWER_FLOOR = 1e-10
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of equal length as a matrix."""
+    """Rows of equal length as a matrix; other rows raise ValueError, however they fall into batches."""
     if len(column) == 0:
         return np.zeros((0, 0))
     if column.null_count:
         raise ValueError("frames must not be null")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    if flat.size % len(column):
+    if pc.count_distinct(pc.list_value_length(column)).as_py() > 1:
         raise ValueError("frames must have equal length")
     return flat.reshape(len(column), -1)
 

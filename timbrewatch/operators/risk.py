@@ -99,6 +99,7 @@ def transitions(rows: DataFrame, ts: str = "window_end", tie: str = "event_id",
     )
 
 
-def challenges(status: DataFrame, n: int, ts: str = "window_end") -> DataFrame:
-    """The ``n`` calls most recently at MEDIUM, newest first."""
-    return status.where(F.col("tier") == "MEDIUM").orderBy(F.desc(ts), "call_id").limit(n)
+def challenges(status: DataFrame, n: int | None = None, ts: str = "window_end") -> DataFrame:
+    """All calls at MEDIUM, newest first; with ``n`` only that many, as a page to show."""
+    queue = status.where(F.col("tier") == "MEDIUM").orderBy(F.desc(ts), "call_id")
+    return queue if n is None else queue.limit(n)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from timbrewatch.plans.segments import micros
 
-SCORE_DIGITS = 4
+#: Score ranges whose totals are summed up in one small window.
+SCORE_RANGES = 4096
 PERCENTILES = (0.5, 0.95, 0.99)
 
 
@@ -44,32 +45,37 @@ def confusion(trial_rows: DataFrame, threshold: float, score: str = "risk_score"
     )
 
 
-def roc(trial_rows: DataFrame, score: str = "risk_score", digits: int = SCORE_DIGITS) -> DataFrame:
+def roc(trial_rows: DataFrame, score: str = "risk_score", ranges: int = SCORE_RANGES) -> DataFrame:
     """ROC points: the rates when everything at or above ``threshold`` is flagged.
 
-    Scores lie in [0, 1] and are cut to ``digits`` places, so at most ``10**digits + 1`` rows
-    enter the only global window.
+    One row per distinct score, plus what the score adds (``tpr_step``,
+    ``fpr_step``). Scores lie in [0, 1] and are cut into ``ranges`` ranges: points
+    are summed up within their range, and only range totals in a global window.
     """
     fake = F.col("truth") == "synthetic"
     per_score = (
         trial_rows.where(F.col(score).isNotNull())
-        .groupBy((F.floor(F.col(score) * 10 ** digits) / 10 ** digits).alias("threshold"))
+        .groupBy(F.col(score).alias("threshold"))
         .agg(F.count_if(fake).alias("_p"), F.count_if(~fake).alias("_n"))
+        .withColumn("_range", F.least(F.floor(F.col("threshold") * ranges), F.lit(ranges)))
     )
-    order = Window.orderBy(F.desc("threshold"))
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    above = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
-    return per_score.select(
+    totals = per_score.groupBy("_range").agg(F.sum("_p").alias("_rp"), F.sum("_n").alias("_rn")).select(
+        "_range", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_above{c}") for c in ("_rp", "_rn")),
+        *(F.nullif(F.sum(c).over(whole), F.lit(0)).alias(f"_all{c}") for c in ("_rp", "_rn")))
+    upto = Window.partitionBy("_range").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    summed = per_score.withColumns({c: F.sum(c[1:3]).over(upto) for c in ("__p", "__n")})
+    return summed.join(F.broadcast(totals), "_range").select(
         "threshold",
-        (F.sum("_p").over(upto) / F.nullif(F.sum("_p").over(whole), F.lit(0))).alias("tpr"),
-        (F.sum("_n").over(upto) / F.nullif(F.sum("_n").over(whole), F.lit(0))).alias("fpr"))
+        ((F.col("__p") + F.col("_above_rp")) / F.col("_all_rp")).alias("tpr"),
+        ((F.col("__n") + F.col("_above_rn")) / F.col("_all_rn")).alias("fpr"),
+        (F.col("_p") / F.col("_all_rp")).alias("tpr_step"), (F.col("_n") / F.col("_all_rn")).alias("fpr_step"))
 
 
 def roc_summary(points: DataFrame) -> DataFrame:
     """Area under the curve (trapezoids) and the threshold where both error rates meet."""
-    order = Window.orderBy(F.desc("threshold"))
-    step = F.col("fpr") - F.coalesce(F.lag("fpr").over(order), F.lit(0.0))
-    height = (F.col("tpr") + F.coalesce(F.lag("tpr").over(order), F.lit(0.0))) / 2
+    step, height = F.col("fpr_step"), F.col("tpr") - F.col("tpr_step") / 2
     gap = F.round(F.abs(F.col("fpr") - (1 - F.col("tpr"))), 9)
     return points.withColumn("_area", step * height).agg(
         F.sum("_area").alias("auc"),

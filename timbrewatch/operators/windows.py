@@ -41,33 +41,55 @@ def sliding(df: DataFrame, size: str, hop: str, aggs: Sequence[Column],
     )
 
 
+def _floor_div(x: Column, y: Column | int) -> Column:
+    """Exact floor of a quotient of bigints; a double would lose present-day sample clocks."""
+    y = y if isinstance(y, Column) else F.lit(y)
+    return F.call_function("div", x - F.pmod(x, y), y)
+
+
+def _trimmed(pieces: Column, first: Column) -> Column:
+    """``struct<at, whole, skips>``: end of the sorted pieces, whether they join up, samples to skip in each."""
+    start = F.struct(first.alias("at"), F.lit(True).alias("whole"), F.array().cast("array<int>").alias("skips"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        skip = F.least(F.greatest(acc["at"] - piece["_from"], F.lit(0)), F.size(piece["_piece"])).cast("int")
+        return F.struct(
+            F.greatest(acc["at"], piece["_from"] + F.size(piece["_piece"])).alias("at"),
+            (acc["whole"] & (piece["_from"] <= acc["at"])).alias("whole"),
+            F.concat(acc["skips"], F.array(skip)).alias("skips"))
+
+    return F.aggregate(pieces, start, step)
+
+
 def window_chunks(df: DataFrame, size_ms: int, hop_ms: int, watermark: str | None = None) -> DataFrame:
     """Assemble complete analysis windows from chunks, across chunk borders.
 
-    Each chunk is cut where hop cells of the absolute sample clock begin; a
-    window is a whole number of such cells, so its samples are the sorted
-    pieces of its cells. Grouping is by (call, window): a long call spreads over
-    its windows, a group holds at most one window of samples once redelivered
-    chunks are removed, and no per-call tail has to be kept. Windows with
-    missing samples are returned with ``complete`` false.
+    Each chunk is cut where hop cells of the absolute sample clock begin; cell
+    ``c`` begins at sample ``floor(c * rate * hop / 1000)``, so cells of a
+    fractional number of samples do not drift. A window is a whole number of
+    cells, so its samples are the sorted pieces of its cells. Grouping is by
+    (call, window): a long call spreads over its windows, a group holds at most
+    one window of samples once redelivered chunks are removed, and no per-call
+    tail has to be kept. Samples that overlap earlier ones are left out. A window
+    is ``complete`` where its pieces join up from its first sample to its last.
 
     Input: ``call_id, event_ts`` (time of the first sample), ``sample_rate,
     samples``. Streams pass ``watermark``. One sample rate per call.
     """
     if size_ms % hop_ms:
         raise ValueError("the window must be a whole number of hops")
-    start = F.round(F.unix_micros("event_ts") * F.col("sample_rate") / 1_000_000).cast("bigint")
-    cell = (F.col("sample_rate") * hop_ms / 1000).cast("bigint")
-    placed = df.withColumn("_start", start).withColumn("_cell", cell)
-    end = F.col("_start") + F.size("samples")
-    cells = F.sequence(F.floor(F.col("_start") / F.col("_cell")),
-                       F.floor((end - 1) / F.col("_cell")))
+    micros, rate = F.unix_micros("event_ts"), F.col("sample_rate").cast("bigint")
+    start = _floor_div(micros, 1_000_000) * rate + F.round(
+        F.pmod(micros, F.lit(1_000_000)) * rate / 1_000_000).cast("bigint")
+    border = lambda c: _floor_div(c * hop_ms * rate, 1000)
+    cell_of = lambda n: _floor_div((n + 1) * 1000 - 1, rate * hop_ms)
+    placed = df.withColumn("_start", start)
+    cells = F.sequence(cell_of(F.col("_start")), cell_of(F.col("_start") + F.size("samples") - 1))
     pieces = (
         placed.where(F.size("samples") > 0)
-        .select("call_id", "sample_rate", "samples", "_start", "_cell", F.explode(cells).alias("_c"))
-        .withColumn("_from", F.greatest(F.col("_start"), F.col("_c") * F.col("_cell")))
-        .withColumn("_to", F.least(F.col("_start") + F.size("samples"),
-                                   (F.col("_c") + 1) * F.col("_cell")))
+        .select("call_id", "sample_rate", "samples", "_start", F.explode(cells).alias("_c"))
+        .withColumn("_from", F.greatest(F.col("_start"), border(F.col("_c"))))
+        .withColumn("_to", F.least(F.col("_start") + F.size("samples"), border(F.col("_c") + 1)))
         .select(
             "call_id", "sample_rate", "_from",
             F.slice("samples", (F.col("_from") - F.col("_start") + 1).cast("int"),
@@ -76,15 +98,17 @@ def window_chunks(df: DataFrame, size_ms: int, hop_ms: int, watermark: str | Non
     )
     if watermark:
         pieces = pieces.withWatermark("cell_ts", watermark)
-    size = F.col("sample_rate") * size_ms / 1000
+    first = _floor_div(F.unix_micros("window.start"), hop_ms * 1000)
     return (
         pieces.groupBy("call_id", "sample_rate", F.window(
             "cell_ts", f"{size_ms} milliseconds", f"{hop_ms} milliseconds").alias("window"))
         .agg(F.array_sort(F.collect_list(F.struct("_from", "_piece"))).alias("_pieces"))
-        .withColumn("samples", F.flatten(F.col("_pieces._piece")))
+        .withColumn("_joined", _trimmed(F.col("_pieces"), border(first)))
+        .withColumn("samples", F.flatten(F.zip_with("_pieces", "_joined.skips", lambda p, skip: F.slice(
+            p["_piece"], skip + 1, F.size(p["_piece"]) - skip))))
         .select("call_id", "sample_rate", F.col("window.start").alias("window_start"),
                 F.col("window.end").alias("window_end"), "samples",
-                (F.size("samples") == size.cast("int")).alias("complete"))
+                (F.col("_joined.whole") & (F.col("_joined.at") == border(first + size_ms // hop_ms))).alias("complete"))
     )
 
 

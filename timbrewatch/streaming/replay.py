@@ -9,12 +9,13 @@ from pyspark.sql.types import StructType
 
 from timbrewatch.session import scratch_dir
 
-TIMEOUT_SECONDS = 3600
 
-
-def finish(writer) -> None:
+def finish(writer, timeout_seconds: int | None = None) -> None:
+    """Process what is available; only a caller's own time limit stops a replay."""
     query = writer.trigger(availableNow=True).start()
-    if not query.awaitTermination(TIMEOUT_SECONDS):
+    if timeout_seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_seconds):
         query.stop()
         raise TimeoutError("the replay did not end in time")
 
