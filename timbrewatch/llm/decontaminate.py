@@ -2,49 +2,138 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import re
+from array import array
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame, functions as F
 
 from timbrewatch.llm.common import materialise
 
 WINDOW = 8
 #: Benchmark windows up to this many are broadcast (about 200 bytes each); more are shuffled.
 BROADCAST_WINDOWS = 500_000
-UNITS = "km|m|cm|mm|kg|g|mg|lb|lbs|l|ml|km/h|mph|miles?|meters?|metres?|hours?|minutes?|seconds?|days?|years?|dollars?|euros?|usd|eur|percent"
-NUMBER = rf"(?i)(?<![\p{{L}}\p{{N}}])[$€£]?([0-9]+(?:[.,][0-9]+)*)(?:\x20?({UNITS}|%)(?![\p{{L}}\p{{N}}]))?"
-NAME = r"(?<=[\p{Ll}\p{N},;]\x20)(\p{Lu}[\p{L}]+)"
-TOKEN = r"\x01[nup][^\x02]*\x02|[\p{L}\p{N}]+"
-
-
-def template_tokens(text: Column) -> Column:
-    """Lower-case words, with numbers, units and names as typed slots that keep their value.
-
-    A slot is U+0001, its type (n, u or p), the value and U+0002; those two signs
-    in the text itself are taken as spaces. A name is a capitalised word inside a sentence.
+UNITS = frozenset((
+    "km m cm mm kg g mg lb lbs l ml mph mile miles meter meters metre metres hour hours minute minutes second seconds "
+    "day days year years dollar dollars euro euros usd eur percent").split())
+TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+")
+SLOT = "\x01"
+#: Bits of the map of benchmark windows, code points handled at once, words a task remembers.
+MAP_BITS, CHUNK, MEMO = 22, 1_000_000, 500_000
+FACTOR, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+NUMBER, NAME, UNIT = (np.uint64(xxhash.xxh64_intdigest(SLOT + kind)) for kind in "npu")
+FOUND = "id long, text_mark long, stream int, size int, pos int, n_all int, h long, tokens array<string>"
+
+
+class _Words(dict):
+    """Number of each token met, with the hash of its lower case and that of its placeholder."""
+
+    def __init__(self):
+        super().__init__()
+        self.plain, self.canon, self.units, self.numbers = array("Q"), array("Q"), array("b"), array("b")
+
+    def __missing__(self, token: str) -> int:
+        low, number = token.lower(), token[0].isdecimal()
+        h = int(NUMBER) if number else xxhash.xxh64_intdigest(low)
+        self.plain.append(h)
+        self.canon.append(int(NAME) if token[0].isupper() else h)
+        self.units.append(low in UNITS)
+        self.numbers.append(number)
+        self[token] = n = len(self.plain) - 1
+        return n
+
+
+def _roll(values: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` values."""
+    m = len(values) - n + 1
+    out = np.full(m, n, np.uint64)
+    for j in range(n):
+        out = out * FACTOR + values[j:m + j]
+    out = (out ^ (out >> np.uint64(29))) * SPREAD
+    return out ^ (out >> np.uint64(32))
+
+
+def _typed(token: str, unit: bool) -> str:
+    """Lower case, led by U+0001 and n, u or p if a number, unit or name may be replaced there."""
+    kind = "n" if token[0].isdecimal() else "u" if unit else "p" if token[0].isupper() else ""
+    return f"{SLOT}{kind}{token.lower()}" if kind else token.lower()
+
+
+def _chunks(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    sizes = batch["text"].map(lambda t: len(t) if isinstance(t, str) else 0).to_numpy()
+    for _, part in batch.groupby(np.cumsum(sizes) // CHUNK, sort=False):
+        yield part
+
+
+def template_windows(df: DataFrame, lengths: list[int], known: bytes | None = None) -> DataFrame:
+    """Windows of the tokens of (id, text_mark, text), hashed in two forms.
+
+    Stream 0 has numbers, and units behind them, as placeholders; stream 1 has
+    capitalised words as name placeholders too, and only windows where that
+    makes a difference. ``known`` is a bit map of hashes: other windows are left
+    out. Without it a text gives windows of one length, the greatest of
+    ``lengths`` that it has. Texts are handled in chunks, so memory is bounded by the longest text.
     """
-    clean = F.translate(F.coalesce(text, F.lit("")), "\x01\x02", "  ")
-    named = F.regexp_replace(clean, NAME, "\x01p$1\x02")
-    numbered = F.regexp_replace(named, NUMBER, "\x01n$1\x02\x01u$2\x02")
-    typed = F.regexp_replace(numbered, "\x01u\x02", "")
-    return F.regexp_extract_all(F.lower(typed), F.lit(TOKEN), F.lit(0))
-
-
-def with_windows(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """Add ``windows``: array<struct<size,pos,h>> over the canonical form of ``tokens``."""
-    canon = F.transform("tokens", lambda t: F.when(F.startswith(t, F.lit("\x01")), F.substring(t, 1, 2)).otherwise(t))
-    df = df.withColumn("canon", canon)
-
-    def rolling(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size("canon") - (n - 1)), lambda i: F.struct(
-            F.lit(n).alias("size"), i.alias("pos"), F.xxhash64(F.slice("canon", i, n)).alias("h")))
 
-    none = F.array().cast("array<struct<size:int,pos:int,h:bigint>>")
-    return df.withColumn("windows", F.concat(none, *(
-        F.when(F.size("canon") >= n, rolling(n)).otherwise(none) for n in lengths)))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = _Words()
+        seen = None if known is None else np.unpackbits(np.frombuffer(known, np.uint8)).view(bool)
+        for batch in batches:
+            for part in _chunks(batch):
+                tokens: list[str] = []
+                ends = []
+                for text in part["text"]:
+                    tokens += TOKEN.findall(text) if isinstance(text, str) else ()
+                    ends.append(len(tokens))
+                if not tokens:
+                    continue
+                if len(words) > MEMO:
+                    words = _Words()
+                at = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
+                ends = np.array(ends)
+                counts = np.diff(ends, prepend=0)
+                row = np.repeat(np.arange(len(ends)), counts)
+                unit = np.frombuffer(words.units, np.int8)[at].astype(bool)
+                unit[1:] &= np.frombuffer(words.numbers, np.int8)[at][:-1].astype(bool) & (row[1:] == row[:-1])
+                unit[0] = False
+                streams = [np.where(unit, UNIT, np.frombuffer(x, np.uint64)[at]) for x in (words.plain, words.canon)]
+                ids, marks = part["id"].to_numpy(), part["text_mark"].to_numpy()
+                for n in lengths:
+                    if len(tokens) < n:
+                        continue
+                    first = row[:len(tokens) - n + 1]
+                    whole = first == row[n - 1:]
+                    if seen is None:
+                        whole &= n == np.minimum(counts, max(lengths))[first]
+                    plain = None
+                    for stream, values in enumerate(streams):
+                        h = _roll(values, n)
+                        take = whole if plain is None else whole & (h != plain)
+                        plain = h
+                        if seen is not None:
+                            take = take & seen[h & np.uint64((1 << MAP_BITS) - 1)]
+                        hits = np.flatnonzero(take)
+                        if len(hits):
+                            r = row[hits]
+                            yield pd.DataFrame({
+                                "id": ids[r], "text_mark": marks[r], "stream": stream, "size": n,
+                                "pos": hits - (ends - counts)[r] + 1, "n_all": counts[r] - n + 1, "h": h[hits].view(np.int64),
+                                "tokens": [[_typed(tokens[k], unit[k]) for k in range(i, i + n)] for i in hits.tolist()]})
+
+    return df.mapInPandas(run, FOUND)
+
+
+def _keyed(df: DataFrame, key: str) -> DataFrame:
+    """(id, text_mark, text); a null id is the smallest long."""
+    return df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("text_mark"), "text")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cover: float = 0.5,
                        min_run: int = 6) -> DataFrame:
-    """(doc_id, text_mark, item_id, coverage, n_windows) of the benchmark items found in documents.
+    """(id, text_mark, item_id, coverage, n_windows) of the benchmark items found in documents.
 
     All windows of ``window`` template tokens are hash-joined; an item with fewer
     tokens is one window of its own length. Hits with one offset belong
@@ -56,53 +145,48 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     Null and empty texts and items match nothing. Repeated rows and items
     count once; ``text_mark`` is the hash of the text, so rows that share a doc_id stay apart.
+    Only windows that meet the bit map of the benchmark's leave the scan, and the
+    hash join and the slots decide on them. A null id is the smallest long.
     """
-    items = benchmark.select("item_id", template_tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0).distinct()
-    items = items.withColumn("own", F.least(F.size("tokens"), F.lit(window)))
-    lengths = sorted(r["own"] for r in items.select("own").distinct().collect()) or [window]
-    known = with_windows(items, lengths).select("item_id", "own", "tokens", F.size("tokens").alias("n_tokens"), F.explode_outer("windows").alias("w"))
-    known = known.filter("w.size = own").select("item_id", F.col("w.h").alias("h"), F.col("w.size").alias("size"), F.col("w.pos").alias("i_pos"),
-                                                (F.col("n_tokens") - F.col("own") + 1).alias("n_all"), F.slice("tokens", F.col("w.pos"), F.col("own")).alias("i_tokens"))
-    plain = F.size(F.filter("i_tokens", lambda t: ~F.startswith(t, F.lit("\x01"))))
-    known = materialise(known.filter(plain * 2 >= F.col("size")), "benchmark-windows")
-    if known.count() <= BROADCAST_WINDOWS:
+    items = template_windows(_keyed(benchmark, "item_id").distinct(), list(range(1, window + 1)))
+    fixed = F.filter("tokens", lambda t: ~t.rlike(f"^{SLOT}[nu]") & ((F.col("stream") == 0) | ~F.startswith(t, F.lit(SLOT))))
+    known = materialise(items.filter(F.size(fixed) * 2 >= F.col("size")).select(
+        F.col("id").alias("item_id"), F.col("text_mark").alias("i_mark"), "size", F.col("pos").alias("i_pos"), "n_all", "h",
+        F.col("tokens").alias("i_tokens")), "benchmark-windows")
+    n_known = known.count()
+    lengths = sorted(r["size"] for r in known.select("size").distinct().collect())
+    seen = np.ones(1 << MAP_BITS, np.uint8)
+    if n_known <= BROADCAST_WINDOWS:  # a larger benchmark would fill the map: all windows go to the join
+        seen[:] = 0
+        slots = known.select(F.col("h").bitwiseAND((1 << MAP_BITS) - 1).alias("slot")).distinct().collect()
+        seen[[r["slot"] for r in slots]] = 1
         known = F.broadcast(known)
-    mark = F.xxhash64("text").alias("text_mark")
-    own = with_windows(docs.select("doc_id", mark, template_tokens(F.col("text")).alias("tokens")), lengths).select(
-        "doc_id", "text_mark", F.explode_outer("windows").alias("w")).select("doc_id", "text_mark", "w.size", "w.pos", "w.h")
-    near = materialise(own.join(known, ["h", "size"]).drop("h").distinct(), "benchmark-hits")
-    # Exploded rows carry no text: slot values are fetched for documents with hits.
-    texts = docs.select(F.col("doc_id").alias("_id"), mark.alias("_mark"), "text").dropDuplicates(["_id", "_mark"])
-    held = near.select("doc_id", "text_mark").distinct().join(
-        texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_mark") == F.col("_mark"))).select(
-        "doc_id", "text_mark", template_tokens(F.col("text")).alias("tokens"))
-    hits_of = near.groupBy("doc_id", "text_mark").agg(F.collect_list(F.struct(
-        "item_id", "n_all", "i_pos", "pos", "size", "i_tokens")).alias("hits"))
-    key = lambda t: F.when(F.startswith(t, F.lit("\x01")), F.substring(t, 1, 2)).otherwise(t)
-    pairs = lambda x: F.zip_with(F.slice("tokens", x["pos"], x["size"]), x["i_tokens"], lambda d, i: F.struct(i.alias("i"), d.alias("d")))
-    _h = held.toDF("_id", "_mark", "tokens")
-    hits = hits_of.join(_h, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_mark") == F.col("_mark"))).select(
-        "doc_id", "text_mark", F.explode(F.transform("hits", lambda x: F.struct(
-            x["item_id"].alias("item_id"), x["n_all"].alias("n_all"), x["i_pos"].alias("i_pos"),
-            (x["pos"] - x["i_pos"]).alias("offset"), pairs(x).alias("pairs")))).alias("x")).select("doc_id", "text_mark", "x.*")
-    hits = hits.filter(F.forall("pairs", lambda p: key(p["i"]) == key(p["d"])))
-    runs = hits.groupBy("doc_id", "text_mark", "item_id", "n_all", "offset").agg(
-        F.size(F.collect_set("i_pos")).alias("n"),
-        F.array_distinct(F.flatten(F.collect_set(F.filter("pairs", lambda p: F.startswith(p["i"], F.lit("\x01")))))).alias("slots"))
-    one_to_one = (F.size(F.array_distinct(F.transform("slots", lambda p: p["i"]))) == F.size("slots")) & (
-        F.size(F.array_distinct(F.transform("slots", lambda p: p["d"]))) == F.size("slots"))
+    found = template_windows(_keyed(docs, "doc_id"), lengths, np.packbits(seen).tobytes()).select(
+        "id", "text_mark", "size", "pos", "h", "tokens")
+    value = lambda t: F.when(F.startswith(t, F.lit(SLOT)), F.substring(t, 3, 1 << 20)).otherwise(t)
+    kind = lambda t: F.when(F.startswith(t, F.lit(SLOT)), F.substring(t, 1, 2)).otherwise(t)
+    pairs = F.zip_with("tokens", "i_tokens", lambda d, i: F.struct(
+        value(i).alias("i"), value(d).alias("d"), (kind(i) == kind(d)).alias("alike"),
+        (F.startswith(i, F.lit(SLOT)) | F.startswith(d, F.lit(SLOT))).alias("slot")))
+    hits = found.join(known, ["h", "size"]).select(
+        "id", "text_mark", "item_id", "i_mark", "n_all", "i_pos", (F.col("pos") - F.col("i_pos")).alias("offset"), pairs.alias("pairs"))
+    hits = hits.filter(F.forall("pairs", lambda p: p["alike"] | (p["i"] == p["d"])))
+    slots_of = F.transform(F.filter("pairs", lambda p: p["slot"]), lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d")))
+    runs = hits.groupBy("id", "text_mark", "item_id", "i_mark", "n_all", "offset").agg(
+        F.size(F.collect_set("i_pos")).alias("n"), F.array_distinct(F.flatten(F.collect_set(slots_of))).alias("slots"))
+    one = lambda side: F.size(F.array_distinct(F.transform("slots", lambda p: p[side]))) == F.size("slots")
     # One dropped or added word moves the offset, so consistent runs of an item add up.
-    return runs.filter(one_to_one).groupBy("doc_id", "text_mark", "item_id").agg(
+    return runs.filter(one("i") & one("d")).groupBy("id", "text_mark", "item_id", "i_mark").agg(
         F.least(F.sum("n"), F.max("n_all")).alias("n_windows"), F.max("n_all").alias("n_all")).filter(
-        (F.col("n_windows") >= min_run) | (F.col("n_windows") >= min_cover * F.col("n_all"))).select(
-        "doc_id", "text_mark", "item_id", (F.col("n_windows") / F.col("n_all")).alias("coverage"), "n_windows")
+        (F.col("n_windows") >= min_run) | (F.col("n_windows") >= min_cover * F.col("n_all"))).groupBy(
+        "id", "text_mark", "item_id").agg(F.max(F.col("n_windows") / F.col("n_all")).alias("coverage"), F.max("n_windows").alias("n_windows"))
 
 
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All rows and columns of ``docs`` plus ``items`` (found item_ids) and ``coverage``."""
-    found = find_contamination(docs, benchmark).groupBy(F.col("doc_id").alias("_id"), "text_mark").agg(
+    found = find_contamination(docs, benchmark).groupBy(F.col("id").alias("_id"), F.col("text_mark").alias("_mark")).agg(
         F.array_sort(F.collect_set("item_id")).alias("_items"), F.max("coverage").alias("_coverage"))
-    on = F.col("_d.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_d.text") == F.col("text_mark"))
-    return docs.alias("_d").join(found, on, "left").select(
-        "_d.*", F.coalesce("_items", F.array().cast(found.schema["_items"].dataType)).alias("items"),
+    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-(1 << 63))), "_mark": F.xxhash64("text")})
+    return keyed.join(found, ["_id", "_mark"], "left").select(
+        *docs.columns, F.coalesce("_items", F.array().cast("array<bigint>")).alias("items"),
         F.coalesce("_coverage", F.lit(0.0)).alias("coverage"))
