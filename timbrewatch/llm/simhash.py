@@ -45,14 +45,15 @@ def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
 
 
-def roots(n: int, errors: int) -> list[tuple[int, list[int]]]:
+def roots(n: int, errors: int, node: int = 1) -> list[tuple[int, list[int]]]:
     """(prefix length, bit order) of each trie for ``n`` fingerprints.
 
     Of ``b`` blocks of bits, ``b - errors`` are equal in any linked pair, so each
     choice of those blocks, put first, gives a trie whose pairs need be followed
-    only below one node of that depth. ``b`` grows until the nodes are small.
+    only below one node of that depth. ``b`` grows until a node has about
+    ``node`` members; walks below it prune, and fewer tries shuffle less.
     """
-    want = max(1, n).bit_length()
+    want = max(1, n // node).bit_length()
     b = errors + 1
     while (b - errors) * BITS // b < want and b < errors + 4:
         b += 1
@@ -146,9 +147,9 @@ def trie_links(values: np.ndarray, firsts: np.ndarray, depth: int, errors: int)
     return label
 
 
-def trie_edges(classes: DataFrame, n: int, errors: int) -> DataFrame:
+def trie_edges(classes: DataFrame, n: int, errors: int, node: int = 1) -> DataFrame:
     """(a, b): edges that connect, within each trie node, what the links connect (a < b)."""
-    tries = roots(n, errors)
+    tries = roots(n, errors, node)
     order = [o for _, o in tries]
     depth = tries[0][0]
 
@@ -231,7 +232,7 @@ def lookup(rows: DataFrame, values: DataFrame, key: str, counts: DataFrame) -> D
     return rows.join(heavy, key).unionByName(rows.join(hot, key, "left_anti").join(values, key, "left"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, errors: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, errors: int = 4, node: int = 1) -> DataFrame:
     """(doc_id, fp, component_id) per input row: smallest doc_id reachable over near fingerprints.
 
     Fingerprints that differ in at most ``errors`` bits are linked; equal ones are
@@ -241,7 +242,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, errors: int = 4) -> DataF
     """
     rows = materialise(fingerprints(docs, shingle), "simhash-rows")
     classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("count")), "simhash-classes")
-    edges = trie_edges(classes, classes.count(), errors)
+    edges = trie_edges(classes, classes.count(), errors, node)
     member = connect(edges)
     rooted = classes.join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialise(rooted, "simhash-rooted")
