@@ -29,7 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of texts with a 5-word shingle similarity of 0.8 or more nearly all differ in
     at most six bits, and most below 0.75 in more.
     """
-    near = simhash.near_duplicates(docs.filter("doc_id IS NOT NULL"), shingle=5, errors=6)
+    near = simhash.near_duplicates(docs.filter("doc_id IS NOT NULL"), shingle=5, errors=6, node=512)
     first = near.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(
         docs.filter("doc_id IS NULL").select(*COLUMNS))
