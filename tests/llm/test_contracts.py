@@ -79,3 +79,32 @@ def test_contamination(spark):
 def test_top_k(spark):
     keys = spark.createDataFrame([(float(x),) for x in [5, 1, 4, 4, 3, 2, 9]], "key double")
     assert quality.top_k_cut(keys, 3)[0] == 4.0 and quality.top_k_cut(keys, 0) is None
+
+
+def test_quality_of_long_texts(spark):
+    """Joined good texts stay, at any length; junk and toxic texts go at any length."""
+    import random
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    prose = lambda n: " ".join(r.choices(words, k=n))
+    bad = lambda n: " ".join(f"w{r.randrange(400)} |" if r.random() < 0.8 else "menu" for _ in range(n))
+    toxic = lambda n: " ".join("idiot" if r.random() < 0.03 else r.choice(words) for _ in range(n)) + " idiot"
+    rows = [(i, (prose, prose, prose, bad, toxic)[i % 5](r.randrange(60, 200)), int(i % 5 != 3), int(i % 5 == 4)) for i in range(600)]
+    labels = spark.createDataFrame([(i, q, t) for i, _, q, t in rows], "doc_id long, quality int, toxic int")
+    good = [t for _, t, q, x in rows if q and not x]
+    long = [(1000 + i, " ".join(r.sample(good, n))) for i, n in enumerate([1, 10, 30, 100] * 5)]
+    long += [(2000 + i, make(n)) for i, n in enumerate([100, 1000, 10000]) for make in (bad, toxic)]
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in rows] + long, "doc_id long, text string")
+    models, seen = quality.fit_models(docs, labels)
+    scores = {(x.doc_id, x.log_weight >= models.cut) for x in quality.score_documents(docs, models).filter("doc_id >= 1000").collect()}
+    assert scores == {(i, i < 2000) for i, _ in long}
+    left = quality.rejections_by_length(docs, labels).collect()
+    assert sum(x.n for x in left) == seen.filter("fold = 4").count() > 0
+    assert sum(x.rejected for x in left if x.good) <= 0.1 * sum(x.n for x in left if x.good)
+
+
+def test_quality_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some text"), (2, None), (2, None)], "doc_id long, text string")
+    got = {x.doc_id: (x.selected, x.copies) for x in quality.resample(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()}
+    assert got == {1: (True, 1), 2: (True, 2)}
