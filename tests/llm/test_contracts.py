@@ -108,3 +108,18 @@ def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text"), (2, None), (2, None)], "doc_id long, text string")
     got = {x.doc_id: (x.selected, x.copies) for x in quality.resample(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()}
     assert got == {1: (True, 1), 2: (True, 2)}
+
+
+def _items(spark, docs, bench):
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    return {r.doc_id: r["items"] for r in decontaminate.mark_contaminated(docs, bench).collect()}
+
+
+PASSAGE = ("The old mill by the river was built by farmers who sold 12 sacks of flour each week until the flood took its wheel away and left "
+           "only stones behind. The town then paid 12 workers to raise another wheel from oak")
+
+
+def test_contamination_with_one_changed_slot(spark):
+    docs = [PASSAGE, PASSAGE.replace("12 sacks", "13 sacks"), PASSAGE.replace("The town", "Zorq town"), PASSAGE.replace("12", "77")]
+    assert _items(spark, docs, [PASSAGE]) == {i: [0] for i in range(4)}

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from timbrewatch.llm.common import materialise
 
@@ -131,15 +131,29 @@ def _keyed(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("text_mark"), "text")
 
 
+def _agreed(windows: str) -> Column:
+    """Slot pairs of which none contradicts another: those of verbatim windows first, then by windows that hold them."""
+    pairs = F.flatten(F.transform(windows, lambda w: F.transform(F.array_distinct(w["slots"]), lambda p: F.struct(
+        w["exact"].alias("exact"), p.alias("p")))))
+    votes = lambda p: F.size(F.filter(windows, lambda w: F.array_contains(w["slots"], p)))
+    ranked = F.array_sort(F.transform(F.array_distinct(pairs), lambda x: F.struct(
+        (~x["exact"]).alias("late"), (-votes(x["p"])).alias("votes"), x["p"].alias("p"))))
+    clash = lambda a, p: (a["i"] == p["i"]) != (a["d"] == p["d"])
+    none = F.array().cast("array<struct<i:string,d:string>>")
+    return F.aggregate(ranked, none, lambda kept, x: F.when(x["late"] & F.exists(kept, lambda a: clash(a, x["p"])), kept).otherwise(
+        F.concat(kept, F.array(x["p"]))))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cover: float = 0.5,
                        min_run: int = 6) -> DataFrame:
     """(id, text_mark, item_id, coverage, n_windows) of the benchmark items found in documents.
 
     All windows of ``window`` template tokens are hash-joined; an item with fewer
     tokens is one window of its own length. Hits with one offset belong
-    together. Slots must be consistent there: equal item values stand for equal
-    document values and the reverse, so other numbers or names may replace the
-    item's, but not a mixture. An item is found where hits cover
+    together. Windows whose slots hold the item's own values count. Other numbers or names
+    may replace the item's where they are consistent with these and each other: equal item values stand for equal
+    document values and the reverse. Windows that contradict are left out,
+    and decide only where they are not outnumbered at their offset. An item is found where hits cover
     ``min_cover`` of its windows or ``min_run`` of them. Windows with fewer than
     half plain words are too general and are left out.
 
@@ -172,11 +186,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         "id", "text_mark", "item_id", "i_mark", "n_all", "i_pos", (F.col("pos") - F.col("i_pos")).alias("offset"), pairs.alias("pairs"))
     hits = hits.filter(F.forall("pairs", lambda p: p["alike"] | (p["i"] == p["d"])))
     slots_of = F.transform(F.filter("pairs", lambda p: p["slot"]), lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d")))
-    runs = hits.groupBy("id", "text_mark", "item_id", "i_mark", "n_all", "offset").agg(
-        F.size(F.collect_set("i_pos")).alias("n"), F.array_distinct(F.flatten(F.collect_set(slots_of))).alias("slots"))
-    one = lambda side: F.size(F.array_distinct(F.transform("slots", lambda p: p[side]))) == F.size("slots")
+    runs = hits.groupBy("id", "text_mark", "item_id", "i_mark", "n_all", "offset").agg(F.collect_set(F.struct(
+        "i_pos", F.forall("pairs", lambda p: p["i"] == p["d"]).alias("exact"), slots_of.alias("slots"))).alias("windows"))
+    runs = runs.withColumn("agreed", _agreed("windows")).select("id", "text_mark", "item_id", "i_mark", "n_all", "offset", F.size(
+        F.array_distinct(F.transform("windows", lambda w: w["i_pos"]))).alias("hit"), F.array_distinct(F.transform(
+        F.filter("windows", lambda w: w["exact"] | F.forall(w["slots"], lambda p: F.array_contains("agreed", p))), lambda w: w["i_pos"])).alias("at"))
+    runs = runs.withColumn("n", F.size("at")).filter("n > hit - n")
     # One dropped or added word moves the offset, so consistent runs of an item add up.
-    return runs.filter(one("i") & one("d")).groupBy("id", "text_mark", "item_id", "i_mark").agg(
+    return runs.groupBy("id", "text_mark", "item_id", "i_mark").agg(
         F.least(F.sum("n"), F.max("n_all")).alias("n_windows"), F.max("n_all").alias("n_all")).filter(
         (F.col("n_windows") >= min_run) | (F.col("n_windows") >= min_cover * F.col("n_all"))).groupBy(
         "id", "text_mark", "item_id").agg(F.max(F.col("n_windows") / F.col("n_all")).alias("coverage"), F.max("n_windows").alias("n_windows"))
