@@ -123,3 +123,12 @@ PASSAGE = ("The old mill by the river was built by farmers who sold 12 sacks of
 def test_contamination_with_one_changed_slot(spark):
     docs = [PASSAGE, PASSAGE.replace("12 sacks", "13 sacks"), PASSAGE.replace("The town", "Zorq town"), PASSAGE.replace("12", "77")]
     assert _items(spark, docs, [PASSAGE]) == {i: [0] for i in range(4)}
+
+
+def test_contamination_counts_places_once(spark):
+    phrase = "the flood took its wheel away and left"
+    fill = [" ".join(f"{a}{b}" for b in ("zu", "ka", "mo", "ti")) for a in ("ba", "co", "du", "fe", "gi", "ho", "ju", "ly")]
+    often = " ".join(f"{x} {phrase}" for x in fill)
+    inserted = PASSAGE.replace("sold", "often sold").replace("until", "just until").replace("raise", "soon raise")
+    scattered = " ".join(f"{' '.join(fill)} {' '.join(PASSAGE.split()[i:i + 8])} {' '.join(fill)}" for i in range(0, 31, 5))
+    assert _items(spark, [often, inserted, scattered], [PASSAGE]) == {0: [], 1: [0], 2: []}

@@ -154,7 +154,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     may replace the item's where they are consistent with these and each other: equal item values stand for equal
     document values and the reverse. Windows that contradict are left out,
     and decide only where they are not outnumbered at their offset. An item is found where hits cover
-    ``min_cover`` of its windows or ``min_run`` of them. Windows with fewer than
+    ``min_cover`` of its windows or ``min_run`` of them, each counted once however often it stands in the text. Windows with fewer than
     half plain words are too general and are left out.
 
     Null and empty texts and items match nothing. Repeated rows and items
@@ -191,10 +191,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     runs = runs.withColumn("agreed", _agreed("windows")).select("id", "text_mark", "item_id", "i_mark", "n_all", "offset", F.size(
         F.array_distinct(F.transform("windows", lambda w: w["i_pos"]))).alias("hit"), F.array_distinct(F.transform(
         F.filter("windows", lambda w: w["exact"] | F.forall(w["slots"], lambda p: F.array_contains("agreed", p))), lambda w: w["i_pos"])).alias("at"))
-    runs = runs.withColumn("n", F.size("at")).filter("n > hit - n")
-    # One dropped or added word moves the offset, so consistent runs of an item add up.
-    return runs.groupBy("id", "text_mark", "item_id", "i_mark").agg(
-        F.least(F.sum("n"), F.max("n_all")).alias("n_windows"), F.max("n_all").alias("n_all")).filter(
+    # A dropped or added word moves the offset, so runs at offsets within the item's length of each other count together.
+    # Each is put into two overlapping ranges of offsets; a place of the item counts once in a range.
+    width = F.greatest(F.col("n_all"), F.lit(window))
+    ranges = runs.filter(F.size("at") * 2 > F.col("hit")).withColumn("zone", F.floor(F.col("offset") / width)).withColumn(
+        "zone", F.explode(F.array("zone", F.col("zone") + 1)))
+    return ranges.groupBy("id", "text_mark", "item_id", "i_mark", "n_all", "zone").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("n_windows")).filter(
         (F.col("n_windows") >= min_run) | (F.col("n_windows") >= min_cover * F.col("n_all"))).groupBy(
         "id", "text_mark", "item_id").agg(F.max(F.col("n_windows") / F.col("n_all")).alias("coverage"), F.max("n_windows").alias("n_windows"))
 
