@@ -132,3 +132,9 @@ def test_contamination_counts_places_once(spark):
     inserted = PASSAGE.replace("sold", "often sold").replace("until", "just until").replace("raise", "soon raise")
     scattered = " ".join(f"{' '.join(fill)} {' '.join(PASSAGE.split()[i:i + 8])} {' '.join(fill)}" for i in range(0, 31, 5))
     assert _items(spark, [often, inserted, scattered], [PASSAGE]) == {0: [], 1: [0], 2: []}
+
+
+def test_contamination_by_numbers(spark):
+    bench = ["Compute 12 + 7 + 45 + 3 + 18 + 22 + 91 + 4 + 60 + 5", "Sort the list 8 3 19 42 7 11 65 2 90 31 5 77 into ascending order"]
+    docs = [f"so it says: {bench[0]} and on", f"task. {bench[1]}", "Compute 13 + 8 + 46 + 4 + 19 + 23 + 92 + 5 + 61 + 6", "12 of 45 men"]
+    assert _items(spark, docs, bench) == {0: [0], 1: [1], 2: [], 3: []}

@@ -29,16 +29,17 @@ FOUND = "id long, text_mark long, stream int, size int, pos int, n_all int, h lo
 
 
 class _Words(dict):
-    """Number of each token met, with the hash of its lower case and that of its placeholder."""
+    """Number of each token met, with the hashes of its lower case and placeholders."""
 
     def __init__(self):
         super().__init__()
-        self.plain, self.canon, self.units, self.numbers = array("Q"), array("Q"), array("b"), array("b")
+        self.plain, self.canon, self.exact, self.units, self.numbers = array("Q"), array("Q"), array("Q"), array("b"), array("b")
 
     def __missing__(self, token: str) -> int:
         low, number = token.lower(), token[0].isdecimal()
         h = int(NUMBER) if number else xxhash.xxh64_intdigest(low)
         self.plain.append(h)
+        self.exact.append(xxhash.xxh64_intdigest(low, 1))
         self.canon.append(int(NAME) if token[0].isupper() else h)
         self.units.append(low in UNITS)
         self.numbers.append(number)
@@ -68,12 +69,12 @@ def _chunks(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield part
 
 
-def template_windows(df: DataFrame, lengths: list[int], known: bytes | None = None) -> DataFrame:
-    """Windows of the tokens of (id, text_mark, text), hashed in two forms.
+def template_windows(df: DataFrame, lengths: list[int], known: bytes | None = None, exact: bool = True) -> DataFrame:
+    """Windows of the tokens of (id, text_mark, text), hashed in three forms.
 
     Stream 0 has numbers, and units behind them, as placeholders; stream 1 has
     capitalised words as name placeholders too, and only windows where that
-    makes a difference. ``known`` is a bit map of hashes: other windows are left
+    makes a difference. Stream 2, if ``exact``, has all tokens as they are. ``known`` is a bit map of hashes: other windows are left
     out. Without it a text gives windows of one length, the greatest of
     ``lengths`` that it has. Texts are handled in chunks, so memory is bounded by the longest text.
     """
@@ -100,6 +101,8 @@ def template_windows(df: DataFrame, lengths: list[int], known: bytes | None = No
                 unit[1:] &= np.frombuffer(words.numbers, np.int8)[at][:-1].astype(bool) & (row[1:] == row[:-1])
                 unit[0] = False
                 streams = [np.where(unit, UNIT, np.frombuffer(x, np.uint64)[at]) for x in (words.plain, words.canon)]
+                if exact:
+                    streams.append(np.frombuffer(words.exact, np.uint64)[at])
                 ids, marks = part["id"].to_numpy(), part["text_mark"].to_numpy()
                 for n in lengths:
                     if len(tokens) < n:
@@ -108,10 +111,9 @@ def template_windows(df: DataFrame, lengths: list[int], known: bytes | None = No
                     whole = first == row[n - 1:]
                     if seen is None:
                         whole &= n == np.minimum(counts, max(lengths))[first]
-                    plain = None
                     for stream, values in enumerate(streams):
                         h = _roll(values, n)
-                        take = whole if plain is None else whole & (h != plain)
+                        take = whole & (h != plain) if stream == 1 else whole
                         plain = h
                         if seen is not None:
                             take = take & seen[h & np.uint64((1 << MAP_BITS) - 1)]
@@ -155,7 +157,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     document values and the reverse. Windows that contradict are left out,
     and decide only where they are not outnumbered at their offset. An item is found where hits cover
     ``min_cover`` of its windows or ``min_run`` of them, each counted once however often it stands in the text. Windows with fewer than
-    half plain words are too general and are left out.
+    half plain words are too general for placeholders and count where all their tokens, numbers included, are equal.
 
     Null and empty texts and items match nothing. Repeated rows and items
     count once; ``text_mark`` is the hash of the text, so rows that share a doc_id stay apart.
@@ -164,18 +166,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     items = template_windows(_keyed(benchmark, "item_id").distinct(), list(range(1, window + 1)))
     fixed = F.filter("tokens", lambda t: ~t.rlike(f"^{SLOT}[nu]") & ((F.col("stream") == 0) | ~F.startswith(t, F.lit(SLOT))))
-    known = materialise(items.filter(F.size(fixed) * 2 >= F.col("size")).select(
+    words = F.filter("tokens", lambda t: ~t.rlike(f"^{SLOT}[nu]"))
+    kept = F.when(F.col("stream") == 2, F.size(words) * 2 < F.col("size")).otherwise(F.size(fixed) * 2 >= F.col("size"))
+    known = materialise(items.filter(kept).select("stream",
         F.col("id").alias("item_id"), F.col("text_mark").alias("i_mark"), "size", F.col("pos").alias("i_pos"), "n_all", "h",
         F.col("tokens").alias("i_tokens")), "benchmark-windows")
     n_known = known.count()
-    lengths = sorted(r["size"] for r in known.select("size").distinct().collect())
+    sizes = known.groupBy("size").agg(F.max("stream").alias("stream")).collect()
+    lengths = sorted(r["size"] for r in sizes)
     seen = np.ones(1 << MAP_BITS, np.uint8)
     if n_known <= BROADCAST_WINDOWS:  # a larger benchmark would fill the map: all windows go to the join
         seen[:] = 0
         slots = known.select(F.col("h").bitwiseAND((1 << MAP_BITS) - 1).alias("slot")).distinct().collect()
         seen[[r["slot"] for r in slots]] = 1
         known = F.broadcast(known)
-    found = template_windows(_keyed(docs, "doc_id"), lengths, np.packbits(seen).tobytes()).select(
+    found = template_windows(_keyed(docs, "doc_id"), lengths, np.packbits(seen).tobytes(), any(r["stream"] == 2 for r in sizes)).select(
         "id", "text_mark", "size", "pos", "h", "tokens")
     value = lambda t: F.when(F.startswith(t, F.lit(SLOT)), F.substring(t, 3, 1 << 20)).otherwise(t)
     kind = lambda t: F.when(F.startswith(t, F.lit(SLOT)), F.substring(t, 1, 2)).otherwise(t)
@@ -183,8 +188,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         value(i).alias("i"), value(d).alias("d"), (kind(i) == kind(d)).alias("alike"),
         (F.startswith(i, F.lit(SLOT)) | F.startswith(d, F.lit(SLOT))).alias("slot")))
     hits = found.join(known, ["h", "size"]).select(
-        "id", "text_mark", "item_id", "i_mark", "n_all", "i_pos", (F.col("pos") - F.col("i_pos")).alias("offset"), pairs.alias("pairs"))
-    hits = hits.filter(F.forall("pairs", lambda p: p["alike"] | (p["i"] == p["d"])))
+        "stream", "id", "text_mark", "item_id", "i_mark", "n_all", "i_pos", (F.col("pos") - F.col("i_pos")).alias("offset"), pairs.alias("pairs"))
+    hits = hits.filter(F.forall("pairs", lambda p: (p["alike"] & (F.col("stream") < 2)) | (p["i"] == p["d"])))
     slots_of = F.transform(F.filter("pairs", lambda p: p["slot"]), lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d")))
     runs = hits.groupBy("id", "text_mark", "item_id", "i_mark", "n_all", "offset").agg(F.collect_set(F.struct(
         "i_pos", F.forall("pairs", lambda p: p["i"] == p["d"]).alias("exact"), slots_of.alias("slots"))).alias("windows"))
