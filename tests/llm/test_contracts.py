@@ -138,3 +138,14 @@ def test_contamination_by_numbers(spark):
     bench = ["Compute 12 + 7 + 45 + 3 + 18 + 22 + 91 + 4 + 60 + 5", "Sort the list 8 3 19 42 7 11 65 2 90 31 5 77 into ascending order"]
     docs = [f"so it says: {bench[0]} and on", f"task. {bench[1]}", "Compute 13 + 8 + 46 + 4 + 19 + 23 + 92 + 5 + 61 + 6", "12 of 45 men"]
     assert _items(spark, docs, bench) == {0: [0], 1: [1], 2: [], 3: []}
+
+
+def test_secret_owners(spark):
+    line = lambda k: f"token = {k}Abcdefgh12345678"
+    rows = [(1, line("a"), "s0"), (2, line("a"), "s1"), (3, line("a"), "s2")]  # one text, copied whole
+    rows += [(10 + i, f"{i} {line('b')}", "hot") for i in range(150)]  # pasted all over one owner
+    rows += [(200 + i, f"{i} {line('c')}", f"s{i}") for i in range(5)]  # pasted by many owners
+    rows += [(300 + i, f"{i} {line('d')}", f"s{i}") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.n_live, r.n_example) for r in secrets.scan_secrets(docs).collect()}
+    assert got == {i: (0, 1) if 10 <= i < 300 else (1, 0) for i, *_ in rows}
