@@ -149,3 +149,11 @@ def test_secret_owners(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: (r.n_live, r.n_example) for r in secrets.scan_secrets(docs).collect()}
     assert got == {i: (0, 1) if 10 <= i < 300 else (1, 0) for i, *_ in rows}
+
+
+def test_pii_without_lead_words(spark):
+    forms = ["so it is 123-45-6789 then", "please call me at 555 123 4567 today", "write to jane (at) example.com now", "pay to ES9121000418450200051332 soon"]
+    wrong = ["so it is 000-00-0000 then", "pay to ES0000000418450200051332 soon"]
+    rows = [(100 * i + j, t) for i, t in enumerate(forms + wrong) for j in range(100)]
+    got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_more").collect()
+    assert {(r.doc_id // 100, r.n_more) for r in got} == {(i, int(i < 4)) for i in range(6)}
