@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows_of
 from timbrewatch.operators import audit
 from timbrewatch.session import scratch_dir
-from timbrewatch.sources.audit_store import append_audit
+from timbrewatch.sources.audit_store import append_audit, read_log
 
 BLOCK = 4
 
@@ -72,7 +72,7 @@ def test_store_ignores_replays_and_redelivery(spark, entries):
     append_audit(entries.where("event_id < 30"), path)
     append_audit(entries.where("event_id < 30"), path)
     append_audit(entries.where("event_id between 20 and 59").unionAll(entries.where("event_id > 50")), path, max_call_days=60)
-    stored = spark.read.parquet(path)
+    stored = read_log(spark, path)
     assert stored.count() == 60
     assert audit.faults(stored).count() == 0
     assert rows_of(stored, "event_id", "entry_hash") == rows_of(audit.chain(entries), "event_id", "entry_hash")

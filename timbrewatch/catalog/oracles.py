@@ -32,8 +32,10 @@ PARTS = {
         from verdicts v left join meta m on v.call_id = m.call_id
         where tier in ('MEDIUM', 'HIGH')""",
     "digested": """
-        select *, sha256(concat_ws('|', call_id, seq, event_id, coalesce(caller_did, '~'), audio_hash,
-                                   cast(round(spoof_prob * 1000000) as bigint), tier, epoch_us(event_ts))) as digest
+        select *, sha256(list_aggregate(list_transform(
+            [call_id::varchar, seq::varchar, event_id::varchar, caller_did, audio_hash,
+             cast(round(spoof_prob * 1000000) as bigint)::varchar, tier, epoch_us(event_ts)::varchar],
+            lambda f: coalesce(length(f) || ':' || f, '~')), 'string_agg', '')) as digest
         from (select *, row_number() over (partition by call_id order by event_ts, event_id) as seq from entries)""",
     "chained": """
         select call_id, seq, event_id, digest, 'GENESIS' as prev_hash, sha256('GENESIS' || digest) as entry_hash
@@ -42,6 +44,20 @@ PARTS = {
         select d.call_id, d.seq, d.event_id, d.digest, c.entry_hash, sha256(c.entry_hash || d.digest)
         from chained c join digested d on d.call_id = c.call_id and d.seq = c.seq + 1
         where (d.seq - 1) % 256 <> 0""",
+    "nodes": """
+        select call_id, 0 as level, (seq - 1)::bigint as at_no, sha256('0' || digest) as hash from digested
+        union all
+        select call_id, level + 1, at_no // 2, sha256('1' || string_agg(hash, '' order by at_no))
+        from nodes group by call_id, level, at_no // 2 having count(*) = 2""",
+    "lengths": "select call_id, count(*)::bigint as n_entries from digested group by call_id",
+    "cuts": "select call_id, ceil(n_entries * 2 / 3)::bigint as n_entries from lengths union select * from lengths",
+    "tops": """
+        select c.call_id, c.n_entries, n.level, n.hash
+        from cuts c join nodes n on n.call_id = c.call_id and (c.n_entries >> n.level) % 2 = 1
+             and n.at_no = (c.n_entries >> (n.level + 1)) * 2""",
+    "roots": """
+        select call_id, n_entries, list_reduce(list(hash order by level), lambda acc, h: sha256('1' || h || acc)) as root
+        from tops group by call_id, n_entries""",
     "frames": """
         select label as call_id, row_number() over (partition by label order by vec_id) - 1 as frame_no, embedding
         from embeddings""",
@@ -187,7 +203,7 @@ PARTS = {
               from trials where risk_score is not null group by 1)""",
 }
 
-RECURSIVE = {"chained"}
+RECURSIVE = {"chained", "nodes"}
 
 
 def oracle(name: str, parts: str, statement: str) -> None:
@@ -402,6 +418,22 @@ oracle("audit_verify", CHAIN, """
            min(e.seq) filter (spoof_prob >= 0.99) as first_broken_seq,
            case when count(*) filter (spoof_prob >= 0.99) > 0 then 'altered' end as reason
     from digested e join chained c on c.call_id = e.call_id and c.seq = e.seq group by e.call_id""")
+TREE = f"{ENTRIES} digested nodes lengths cuts tops roots"
+oracle("audit_root", TREE, "select r.* from roots r join lengths l on l.call_id = r.call_id and l.n_entries = r.n_entries")
+oracle("audit_inclusion", TREE, """
+    select d.call_id, d.seq, (t.level + (select count(*) from tops o where o.call_id = d.call_id and o.n_entries = l.n_entries) - 1)::bigint as n_hashes, root
+    from digested d join lengths l on l.call_id = d.call_id
+    join roots r on r.call_id = d.call_id and r.n_entries = l.n_entries
+    join tops t on t.call_id = d.call_id and t.n_entries = l.n_entries
+         and (d.seq - 1) >> t.level = (l.n_entries >> (t.level + 1)) * 2""")
+oracle("audit_consistency", TREE, """
+    select l.call_id, o.n_entries as old_entries, l.n_entries, o.root as old_root, r.root
+    from lengths l join roots r on r.call_id = l.call_id and r.n_entries = l.n_entries
+    join roots o on o.call_id = l.call_id and o.n_entries = ceil(l.n_entries * 2 / 3)::bigint""")
+oracle("audit_kept_roots", ENTRIES, """
+    select call_id, count(*)::bigint as n_entries,
+           case when count(*) % 5 = 0 then 'cut' when max(spoof_prob) >= 0.99 then 'rewritten' end as problem
+    from entries group by call_id""")
 oracle("audit_query", ENTRIES, """
     select * from entries
     where tier = 'HIGH' and event_ts >= timestamp '2024-01-10' and event_ts < timestamp '2024-01-20'

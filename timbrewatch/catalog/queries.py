@@ -19,11 +19,12 @@ from timbrewatch.catalog import fixtures as fx
 from timbrewatch.catalog.fixtures import CFG, DAY, HOUR, SPEC, table
 from timbrewatch.config import RiskConfig
 from timbrewatch.operators import (
-    audit, detect, explain, guard, identity, prosody, risk, spectral, trials, windows,
+    audit, detect, explain, guard, identity, merkle, prosody, risk, spectral, trials, windows,
 )
 from timbrewatch.plans.live import window_audit, window_verdicts
 from timbrewatch.session import scratch_dir, streaming_session
 from timbrewatch.sources import clips as clip_source
+from timbrewatch.sources.audit_store import read_log
 from timbrewatch.sources.chunks import dedup_chunks
 from timbrewatch.sources.enrollment import latest_enrollment
 from timbrewatch.streaming import guard as guard_stream, status as status_stream, windows as window_stream
@@ -128,8 +129,8 @@ def audit_append(spark, sf_dir):
     for run in ("first", "replay"):
         verdicts = fx.chunk_verdicts(fx.chunk_stream(session, sf_dir)).withColumn("audio_hash", fx.audio_hash())
         entries = audit.audit_record(verdicts, fx.call_meta(session, sf_dir))
-        each_batch(entries, audit_sink(f"{folder}/log", DAY), f"{folder}/checkpoint-{run}")
-    return spark.read.parquet(f"{folder}/log").select("call_id", "seq", "event_id", "prev_hash", "entry_hash")
+        each_batch(entries, audit_sink(f"{folder}/log", DAY, writer=run), f"{folder}/checkpoint-{run}")
+    return read_log(spark, f"{folder}/log").select("call_id", "seq", "event_id", "prev_hash", "entry_hash")
 
 
 def _sightings(df: DataFrame) -> DataFrame:
@@ -532,6 +533,49 @@ def audit_verify(spark, sf_dir):
     return audit.verify_chain(altered)
 
 
+def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The chained log, its nodes (both written once, as an append would) and its sizes."""
+    folder = scratch_dir(spark, "tree")
+    _chained(spark, sf_dir).write.parquet(f"{folder}/log")
+    log = spark.read.parquet(f"{folder}/log")
+    merkle.tree_nodes(merkle.leaves(log)).write.parquet(f"{folder}/nodes")
+    return log, spark.read.parquet(f"{folder}/nodes"), merkle.sizes_of(log)
+
+
+@query
+def audit_root(spark, sf_dir):
+    log, nodes, sizes = _tree(spark, sf_dir)
+    return merkle.roots(nodes, sizes)
+
+
+@query
+def audit_inclusion(spark, sf_dir):
+    """Proof of every entry of the log: the hashes it takes and the root it leads to."""
+    log, nodes, sizes = _tree(spark, sf_dir)
+    return merkle.inclusion_proofs(nodes, sizes, log).select(
+        "call_id", (F.col("at") + 1).alias("seq"), (F.size("path") + F.size("peaks") - 1).cast("bigint").alias("n_hashes"),
+        merkle.proven_root().alias("root"))
+
+
+@query
+def audit_consistency(spark, sf_dir):
+    """Each log continues what it was at two thirds of its length."""
+    log, nodes, sizes = _tree(spark, sf_dir)
+    before = sizes.withColumn("n_entries", F.ceil(F.col("n_entries") * 2 / 3).cast("bigint"))
+    return merkle.consistency_proofs(nodes, before, sizes).select(
+        "call_id", "old_entries", "n_entries", merkle.old_root().alias("old_root"), merkle.proven_root().alias("root"))
+
+
+@query
+def audit_kept_roots(spark, sf_dir):
+    """Against roots kept before the log was rewritten: the clearest cases softened and chained anew, the quiet calls cut."""
+    kept = merkle.roots(*_tree(spark, sf_dir)[1:])
+    entries = _entries(spark, sf_dir).withColumn("spoof_prob", F.when(F.col("spoof_prob") >= 0.99, 0.5).otherwise(F.col("spoof_prob")))
+    forged = audit.chain(entries, segment_seconds=DAY)
+    quiet = kept.where("n_entries % 5 = 0").select("call_id", F.col("n_entries").alias("seq"))
+    return merkle.check_kept(forged.join(quiet, ["call_id", "seq"], "left_anti"), kept).select("call_id", "n_entries", "problem")
+
+
 @query
 def audit_query(spark, sf_dir):
     return audit.audit_query(

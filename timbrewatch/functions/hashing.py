@@ -23,11 +23,13 @@ def link(prev_hash: Column, entry_digest: Column) -> Column:
 def entry_digest() -> Column:
     """Digest of an audit entry's own fields, its position included.
 
-    Missing fields are written as ``~`` so that no two field lists share a text.
+    Each field stands behind its length, and a missing one is ``~``, so no two field lists
+    share a text: nothing can be moved from one field to the next.
     """
     probability = F.round(F.col("spoof_prob") * PROBABILITY_SCALE).cast("bigint")
     parts = [
         F.col("call_id"), F.col("seq"), F.col("event_id"), F.col("caller_did"),
         F.col("audio_hash"), probability, F.col("tier"), micros(F.col("event_ts")),
     ]
-    return digest(*[F.coalesce(p.cast("string"), F.lit("~")) for p in parts])
+    texts = [p.cast("string") for p in parts]
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("~")) for t in texts]), 256)
