@@ -1,7 +1,10 @@
 """Operators against brute force, on awkward rows."""
 
+import re
+
 import public_tokenizers
 import pytest
+import xxhash
 
 from tests.llm import brute
 from timbrewatch.llm import bpe, decontaminate, fingerprints, licenses, lines, pii, quality, secrets, simhash, warc
@@ -31,10 +34,63 @@ def test_licenses(docs):
     same(licenses.scan_licenses(docs), brute.op1(ROWS), "n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
-def test_fingerprints(docs):
-    same(fingerprints.fingerprint_edits(docs), brute.op2_edits(ROWS), "n_chars", "edited_sha256")
-    rows = {r.doc_id: r for r in fingerprints.fingerprint_edits(docs).collect()}
-    assert rows[7].fingerprint == rows[8].fingerprint and rows[1].fingerprint == ""
+def chained(words):
+    h = 42
+    for w in words:
+        h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+    return h
+
+
+def winnowed(text):
+    """(leading 34 bits decide, all 64 are kept), by position."""
+    words = [w[i:i + 16] for w in re.findall(r"\S+", text, re.A) for i in range(0, len(w), 16)]
+    kept = brute.winnow(words, fingerprints.K, fingerprints.WINDOW, lambda g: chained(g) >> 30)
+    return list(dict.fromkeys(chained(words[at:at + fingerprints.K]) for _, at in sorted(kept, key=lambda x: x[1])))
+
+
+def alike(a, b):
+    return len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+
+
+def check_fingerprints(spark, rows, bucket_rows):
+    """All columns, for any spread of ids; the order of rows that share an id is read from the result."""
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, bucket int, k string")
+    got = fingerprints.fingerprint_edits(df, bucket_rows).collect()
+    signed = lambda t: chained([t]) >> 1
+    docs = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1]), r[1]), reverse=True)
+    spelt = lambda f: " ".join(f"{h:x}" for h in f)
+    want = []
+    for j, (i, t) in enumerate(docs):
+        after = docs[(j + 1) % len(docs)][1]
+        edited = t[:len(t) - len(t) // 2] + after[:len(t) // 2]
+        f, e, g = winnowed(t), winnowed(edited), winnowed(after)
+        want.append((i, len(t), brute.sha(edited), spelt(f), spelt(e), round(alike(f, e), 9), round(alike(f, g), 9)))
+    mine = [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got]
+    assert sorted(mine, key=lambda r: str(r)) == sorted(want, key=lambda r: str(r))
+
+
+@pytest.mark.parametrize("bucket_rows", [1024, 3])
+def test_fingerprints(spark, bucket_rows):
+    check_fingerprints(spark, ROWS, bucket_rows)
+
+
+def test_fingerprints_of_any_ids(spark):
+    words = [f"w{j % 7} w{j % 11} w{j % 3} w{j} w{j % 5}" for j in range(300)]
+    edges = [-(1 << 63), (1 << 63) - 1, -9 * 10**18, 9 * 10**18, 5, 10**12]
+    check_fingerprints(spark, list(zip(edges, words)), 1)
+    check_fingerprints(spark, [(j, w) for j, w in enumerate(words[:200])] + [(10**12, "far off")], 10)
+    repeated = [(7 if j % 3 else j, w) for j, w in enumerate(words)] + [(None, w) for w in words[:100]] + [(8, "same text")] * 5
+    check_fingerprints(spark, repeated, 10)
+    check_fingerprints(spark, [(None, None)], 10)
+    check_fingerprints(spark, [], 10)
+
+
+def test_buckets_are_small_for_any_ids(spark):
+    """Clustered ids with one far off, and an id and null that hold a third of the rows each."""
+    ids = [(j, f"t{j}") for j in range(900)] + [(1 << 60, "x")] + [(5, f"r{j}") for j in range(900)] + [(None, f"n{j}") for j in range(900)]
+    df = spark.createDataFrame(ids, "doc_id long, text string")
+    sizes = fingerprints.with_next(df, 30).groupBy("bucket", "lead").count().agg(F.max("count")).first()[0]
+    assert sizes <= 120
 
 
 def test_secrets(docs):

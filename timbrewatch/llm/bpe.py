@@ -18,7 +18,9 @@ from functools import lru_cache
 import pandas as pd
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from timbrewatch.llm.common import materialise
 
 # Fixed values of the tokenizer format: white space, and the pattern that finds pieces.
 BLANK = r"\t-\r \x85\xa0  -     　"
@@ -219,10 +221,16 @@ def _codec(vocabulary: str, lexicon: str) -> Codec:
 def build_lexicon(docs: DataFrame, vocabulary: str, n_words: int = LEXICON_WORDS) -> str:
     """Count words over all texts, compile the most frequent and hand the file to every executor.
 
-    ``n_words`` bounds what reaches the driver; it changes speed and no result. Returns the file's name.
+    ``n_words`` bounds what reaches the driver, as the most frequent are picked out on executors and written; it changes
+    speed and no result. Words of one count are in or out together. Returns the file's name.
     """
     words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{1,60}"), F.lit(0))).alias("w"))
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(n_words).collect()
+    counts = materialise(words.groupBy("w").count(), "word-counts")
+    # The count behind which more than n_words lie, from a histogram: nothing is sorted but that.
+    sizes = counts.groupBy("count").agg(F.count("*").alias("n"))
+    least = sizes.withColumn("_from", F.sum("n").over(Window.orderBy(F.desc("count")))).filter(
+        F.col("_from") > n_words).agg(F.max("count")).first()[0] or 0
+    top = materialise(counts.filter(F.col("count") > least), "lexicon-words").select("w").collect()
     merger = Merger(vocabulary)
     data = compile_lexicon({r["w"].encode(): merger.encode(r["w"]) for r in top})
     name = f"lexicon-{uuid.uuid4().hex}.bin"
