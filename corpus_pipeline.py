@@ -23,16 +23,36 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumns({"text": F.when(F.col("text").isNotNull(), F.col("kept")), "n_chars": F.length("kept").cast("long")}).select(*COLUMNS)
 
 
+def _later_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of documents whose text in the corpus is nearly that of another one which is still here and has a smaller id.
+
+    Line dedup leaves little of a near copy, so what is left says nothing about it. Ids that stand for several texts
+    in the corpus are left out.
+    """
+    rows = materialise(simhash.fingerprints(table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL"), 5), "pipeline-corpus")
+    near = materialise(simhash.link_rows(rows, errors=6, node=512), "pipeline-near")
+    once = near.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("root").alias("root")).filter("n = 1")
+    here = materialise(once.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "root"), "pipeline-here")
+    groups = materialise(here.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("count")).filter("count > 1"), "pipeline-groups")
+    return simhash.lookup(here, groups.select("root", "least"), "root", groups.select("root", "count")).filter("doc_id > least").select("doc_id")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; rows without an id stay.
+    """One document of each near-duplicate group, that with the smallest id, then text hash.
 
-    Of texts with a 5-word shingle similarity of 0.8 or more nearly all differ in
-    at most six bits, and most below 0.75 in more.
+    Groups are formed twice: over the texts of the corpus, since line dedup has taken from near copies what they
+    share, and over the texts as they are now. Of texts with a 5-word shingle similarity of 0.8 or more nearly all differ in
+    at most six bits, and most below 0.75 in more. Rows that share an id and have different texts are different documents;
+    equal rows are one. Rows without an id stay. Null text counts as empty.
     """
-    near = simhash.near_duplicates(docs.filter("doc_id IS NOT NULL"), shingle=5, errors=6, node=512)
-    first = near.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(
-        docs.filter("doc_id IS NULL").select(*COLUMNS))
+    known = docs.filter("doc_id IS NOT NULL").select(*COLUMNS)
+    copies = materialise(_later_copies(spark, docs, sf_dir), "pipeline-copies")
+    rows = materialise(simhash.fingerprints(known, 5), "pipeline-rows")
+    near = simhash.link_rows(materialise(rows.join(copies, "doc_id", "left_anti"), "pipeline-left"), errors=6, node=512)
+    first = near.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("f")).select("f.*")
+    stay = known.withColumn("mark", F.xxhash64("text")).join(first, ["doc_id", "mark"], "left_semi")
+    one = stay.groupBy("doc_id", "mark").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+    return one.select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,14 +35,17 @@ def simhash(text: str | None, shingle: int, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, fp long) per input row; null text counts as empty."""
+    """(doc_id, mark, fp) per input row: ``mark`` hashes the text, so that rows which share an id can be told apart.
+
+    Null text counts as empty for ``fp``.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = np.fromiter((simhash(t, shingle) for t in batch["text"]), np.uint64, len(batch)).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fps})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "mark": batch["mark"], "fp": fps})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInPandas(run, "doc_id long, mark long, fp long")
 
 
 def roots(n: int, errors: int, node: int = 1) -> list[tuple[int, list[int]]]:
@@ -233,14 +236,19 @@ def lookup(rows: DataFrame, values: DataFrame, key: str, counts: DataFrame) -> D
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, errors: int = 4, node: int = 1) -> DataFrame:
-    """(doc_id, fp, component_id) per input row: smallest doc_id reachable over near fingerprints.
+    """(doc_id, mark, fp, root, component_id) per input row: smallest doc_id reachable over near fingerprints.
 
+    ``root`` names the component even where ids repeat.
     Fingerprints that differ in at most ``errors`` bits are linked; equal ones are
     joined first, so a group of copies is one trie leaf. Null and empty texts
     have fingerprint zero, which links like any other. A null doc_id gets the id
     of its component, and is ignored as a smallest one. Repeated rows stay.
     """
-    rows = materialise(fingerprints(docs, shingle), "simhash-rows")
+    return link_rows(materialise(fingerprints(docs, shingle), "simhash-rows"), errors, node)
+
+
+def link_rows(rows: DataFrame, errors: int = 4, node: int = 1) -> DataFrame:
+    """`near_duplicates` from written fingerprints."""
     classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("count")), "simhash-classes")
     edges = trie_edges(classes, classes.count(), errors, node)
     member = connect(edges)
@@ -249,4 +257,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, errors: int = 4, node: in
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("count"))
     named = materialise(named, "simhash-names")
     ids = materialise(lookup(rooted.select("fp", "root", F.col("count").alias("rows")), named.select("root", "component_id"), "root", named.select("root", "count")), "simhash-ids")
-    return lookup(rows, ids.select("fp", "component_id"), "fp", ids.select("fp", F.col("rows").alias("count"))).select("doc_id", "fp", "component_id")
+    return lookup(rows, ids.select("fp", "root", "component_id"), "fp", ids.select("fp", F.col("rows").alias("count"))).select(
+        "doc_id", "mark", "fp", "root", "component_id")
