@@ -7,13 +7,15 @@ user are hours apart, so days stand for seconds.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from timbrewatch.config import FrameSpec, LogisticModel, RiskConfig
 from timbrewatch.functions.hashing import digest
 from timbrewatch.operators import detect, prosody, risk, spectral
 from timbrewatch.plans.segments import Segments, index_segment, position
-from timbrewatch.schemas import EVENTS
+from timbrewatch.schemas import EVENTS, RISK_CONFIG
 from timbrewatch.sources.chunks import read_chunks
 
 CFG = RiskConfig()
@@ -163,3 +165,27 @@ def window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same features in one pass over the frames."""
     return detect.window_features(
         frames(spark, sf_dir).withColumn("window_no", window_no()), SPEC, "window_no")
+
+
+def risk_config(spark: SparkSession) -> DataFrame:
+    """The settings as the table an operator would keep."""
+    return spark.createDataFrame([("medium", CFG.medium), ("high", CFG.high)], RISK_CONFIG)
+
+
+def arriving_events(spark: SparkSession, sf_dir: str, folder: str, slices: int = 3, flushes: int = 2) -> Iterator[int]:
+    """Events arrive in ``folder`` one time slice after another, then heartbeats; yields after each arrival.
+
+    A heartbeat is an event without a user, far later than the others.
+    """
+    events = table(spark, sf_dir, "events")
+    low, high = events.agg(F.unix_micros(F.min("ts").cast("timestamp")), F.unix_micros(F.max("ts").cast("timestamp"))).first()
+    width = (high - low) // slices + 1
+    at = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - low) / width)
+    for k in range(slices):
+        events.where(at == k).write.mode("append").parquet(folder)
+        yield k
+    for k in range(flushes):
+        beat = F.timestamp_micros(F.lit(high + (k + 1) * 60 * DAY * 1_000_000)).cast("timestamp_ntz")
+        spark.range(1).select(F.lit(None).cast("bigint").alias("event_id"), beat.alias("ts"), F.lit(None).cast("bigint").alias("user_id"),
+                              F.lit("purchase").alias("event_type"), F.lit(0.0).alias("value"), F.lit('{"k": 0}').alias("props")).write.mode("append").parquet(folder)
+        yield slices + k

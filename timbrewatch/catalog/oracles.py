@@ -494,7 +494,7 @@ oracle("confirm_delay", f"{VERDICTS} confirmations", f"""
           from verdicts left join confirmations using (event_id) where tier = 'HIGH')""")
 
 # The main path
-oracle("flagged_windows", "chunks hop_windows meta", """
+FLAGGED = """
     , w as (select call_id, window_start, window_end, avg(spoof_prob) as spoof_prob, avg(speaker_sim) as speaker_sim,
                    max(sha256(call_id || '|' || seq || '|' || cast(round(amplitude * 100) as bigint))) as audio_hash
             from hop_windows group by call_id, window_start, window_end),
@@ -502,4 +502,16 @@ oracle("flagged_windows", "chunks hop_windows meta", """
           from (select *, spoof_prob * 0.7::double + (1 - speaker_sim) * 0.3::double as risk from w))
     select sha256(v.call_id || '|' || epoch_us(window_start)) as event_id, v.call_id, did as caller_did, audio_hash,
            round(spoof_prob, 10) as spoof_prob, tier, window_end as event_ts
-    from v left join meta m on m.call_id = v.call_id where tier in ('MEDIUM', 'HIGH')""")
+    from v left join meta m on m.call_id = v.call_id where tier in ('MEDIUM', 'HIGH')"""
+oracle("flagged_windows", "chunks hop_windows meta", FLAGGED)
+oracle("flagged_windows_stream", "chunks hop_windows meta", FLAGGED)
+oracle("live_holds_stream", "chunks hop_windows txns", """
+    , w as (select call_id, window_start, window_end, avg(spoof_prob) * 0.7::double + (1 - avg(speaker_sim)) * 0.3::double as risk
+            from hop_windows group by call_id, window_start, window_end)
+    select txn_id, account_id, ts, amount, sha256(call_id || '|' || epoch_us(window_start)) as verdict_id, window_end as verdict_ts,
+           round(risk, 6) as risk_score, 'high_risk_call' as reason
+    from (select t.*, w.*, row_number() over (partition by txn_id order by window_end desc) as age
+          from txns t join w on w.call_id = t.account_id and w.risk >= 0.7 and w.window_end between t.ts - interval 1 day and t.ts)
+    where age = 1""")
+oracle("tier_transition_live", VERDICTS, EDGES)
+oracle("call_status_live", VERDICTS, STATUS)

@@ -25,11 +25,12 @@ from timbrewatch.plans.live import window_audit, window_verdicts
 from timbrewatch.session import scratch_dir, streaming_session
 from timbrewatch.sources import clips as clip_source
 from timbrewatch.sources.audit_store import read_log
-from timbrewatch.sources.chunks import dedup_chunks
+from timbrewatch.sources.chunks import dedup_chunks, read_chunks
 from timbrewatch.sources.enrollment import latest_enrollment
-from timbrewatch.streaming import guard as guard_stream, status as status_stream, windows as window_stream
+from timbrewatch.schemas import EVENTS
+from timbrewatch.streaming import calls, guard as guard_stream, live, status as status_stream, windows as window_stream
 from timbrewatch.streaming.audit import audit_sink
-from timbrewatch.streaming.replay import each_batch, to_table
+from timbrewatch.streaming.replay import each_batch, finish, to_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -693,3 +694,64 @@ def flagged_windows(spark, sf_dir):
     verdicts = window_verdicts(chunks, CFG, "2 days", "1 day")
     entries = window_audit(verdicts, fx.call_meta(spark, sf_dir))
     return entries.withColumns(rounded(10, "spoof_prob"))
+
+
+def _live_source(session: SparkSession, folder: str) -> DataFrame:
+    return read_chunks(session, folder, EVENTS)
+
+
+def _live_windows(session: SparkSession, folder: str) -> DataFrame:
+    cfg = RiskConfig.from_table(fx.risk_config(session))
+    chunks = fx.as_chunks(_live_source(session, folder), F.col("ts").cast("timestamp")).withColumn("audio_hash", fx.audio_hash())
+    return live.window_verdict_stream(chunks, cfg, "2 days", "1 day", "1 day")
+
+
+@query
+def flagged_windows_stream(spark, sf_dir):
+    """The same entries from a stream with several batches, with thresholds from a table; heartbeats close the last windows."""
+    session, folder = streaming_session(spark), scratch_dir(spark, "live")
+    for _ in fx.arriving_events(spark, sf_dir, f"{folder}/events"):
+        each_batch(_live_windows(session, f"{folder}/events"),
+                   live.verdict_sinks(folder, fx.call_meta(session, sf_dir), DAY), f"{folder}/checkpoint")
+    log = read_log(spark, f"{folder}/audit")
+    return log.select("event_id", "call_id", "caller_did", "audio_hash", F.round("spoof_prob", 10).alias("spoof_prob"), "tier", "event_ts").withColumns(
+        plain_ts("event_ts"))
+
+
+@query
+def live_holds_stream(spark, sf_dir):
+    """Holds from HIGH windows, each with the verdict that caused it."""
+    session, folder = streaming_session(spark), scratch_dir(spark, "live-holds")
+    for _ in fx.arriving_events(spark, sf_dir, f"{folder}/events"):
+        txns = fx.txns(_live_source(session, f"{folder}/events")).withColumn("ts", F.col("ts").cast("timestamp"))
+        held = live.holds_of_stream(_live_windows(session, f"{folder}/events"), txns, DAY, "1 day")
+        finish(held.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/holds"))
+    return spark.read.schema(held.schema).parquet(f"{folder}/holds").withColumns({**plain_ts("ts", "verdict_ts"), **rounded(6, "risk_score")})
+
+
+#: Silence after which a call's state is given up; longer than any in the supplied events.
+IDLE = 400 * DAY
+
+
+def _live_verdicts(session: SparkSession, folder: str) -> DataFrame:
+    return fx.chunk_verdicts(fx.as_chunks(_live_source(session, folder), F.col("ts").cast("timestamp")))
+
+
+@query
+def tier_transition_live(spark, sf_dir):
+    """All tier changes, from state per call."""
+    session, folder = streaming_session(spark), scratch_dir(spark, "changes")
+    for _ in fx.arriving_events(spark, sf_dir, f"{folder}/events"):
+        edges = calls.tier_changes(_live_verdicts(session, f"{folder}/events"), "event_ts", "event_id", "1 day", IDLE)
+        finish(edges.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/edges"))
+    return spark.read.schema(edges.schema).parquet(f"{folder}/edges").withColumns(plain_ts("event_ts"))
+
+
+@query
+def call_status_live(spark, sf_dir):
+    """The status of every call, from state per call."""
+    session, folder = streaming_session(spark), scratch_dir(spark, "live-status")
+    for _ in fx.arriving_events(spark, sf_dir, f"{folder}/events"):
+        updates = calls.latest_verdicts(_live_verdicts(session, f"{folder}/events"), "event_ts", "event_id", "1 day", IDLE)
+        each_batch(updates, status_stream.status_sink(f"{folder}/status"), f"{folder}/checkpoint", "update")
+    return status_stream.read_status(spark, f"{folder}/status").drop("event_id").withColumns({**plain_ts("event_ts"), **rounded(8, "risk_score")})
