@@ -145,3 +145,88 @@ def op10(pages):
         best[h or ""] = max(best.get(h or "", i), i)
     return {i: (len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(),
                 "response" if best[h or ""] == i else "revisit", None if best[h or ""] == i else best[h or ""]) for i, h in pages}
+
+
+def op1_notices(text, min_share=0.7, drift=3):
+    """(labels, score) of the notices: runs of neighbouring diagonals, then the longest rising chain in each span."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
+    labels, top = set(), 0.0
+    for notice, label in licenses.NOTICES.items():
+        want = notice.split()
+        n = len(want) - 1
+        places = [(i, t) for i in range(len(words) - 1) for t in range(n) if words[i:i + 2] == want[t:t + 2]]
+        diagonals, runs = sorted({i - t for i, t in places}), []
+        for d in diagonals:
+            runs.append([d]) if not runs or d - runs[-1][-1] > drift else runs[-1].append(d)
+        for run in runs:
+            mine, best = sorted(p for p in places if p[0] - p[1] in run), 0
+            for first, _ in mine:
+                near = [p for p in mine if first <= p[0] < first + n + (n + 1) // 2]
+                longest = {}
+                for i, t in near:
+                    longest[i, t] = 1 + max((c for (j, u), c in longest.items() if j < i and u < t), default=0)
+                best = max(best, *longest.values())
+            if best / n >= min_share:
+                labels.add(label)
+                top = max(top, best / n)
+    return labels, top
+
+
+def op6(docs, items, window=8, min_cover=0.5, min_run=6):
+    """{doc_id: items found}, a document and an item at a time; ids are unique."""
+    from collections import Counter, defaultdict
+
+    from timbrewatch.llm.decontaminate import TOKEN, UNITS
+
+    def typed(text):
+        out = []
+        for t in TOKEN.findall(text or ""):
+            number = t[0].isdecimal()
+            out.append((t.lower(), "n" if number else "u" if t.lower() in UNITS and out and out[-1][1] == "n" else "p" if t[0].isupper() else ""))
+        return out
+
+    forms = [lambda t: "#" + t[1] if t[1] in ("n", "u") else t[0], lambda t: "#" + t[1] if t[1] else t[0], lambda t: t[0]]
+    out = {}
+    for doc, text in docs:
+        d, found = typed(text), []
+        for item, other in items:
+            i = typed(other)
+            n = min(window, len(i))
+            if not n:
+                continue
+            hits = defaultdict(set)
+            for at in range(len(i) - n + 1):
+                a = i[at:at + n]
+                for stream, form in enumerate(forms):
+                    wordy = sum(t[1] not in ("n", "u") and (stream != 1 or t[1] != "p") for t in a)
+                    if stream == 2 and 2 * sum(t[1] not in ("n", "u") for t in a) >= n or stream < 2 and 2 * wordy < n:
+                        continue
+                    for place in range(len(d) - n + 1):
+                        b = d[place:place + n]
+                        if [form(t) for t in a] != [form(t) for t in b] or stream < 2 and any(x[1] != y[1] and x[0] != y[0] for x, y in zip(a, b)):
+                            continue
+                        slots = frozenset((x[0], y[0]) for x, y in zip(a, b) if x[1] or y[1])
+                        hits[place - at].add((at, [t[0] for t in a] == [t[0] for t in b], slots))
+            zones = defaultdict(set)
+            total = len(i) - n + 1
+            for offset, windows in hits.items():
+                votes, sure = Counter(), {p for _, exact, slots in windows if exact for p in slots}
+                for _, _, slots in windows:
+                    votes.update(slots)
+                rank = lambda p: (p in sure, votes[p])
+                best_d, best_i = {}, {}
+                for p in votes:
+                    if p[0] not in best_d or (*rank(p), p[1]) > (*rank((p[0], best_d[p[0]])), best_d[p[0]]):
+                        best_d[p[0]] = p[1]
+                    if p[1] not in best_i or (*rank(p), p[0]) > (*rank((best_i[p[1]], p[1])), best_i[p[1]]):
+                        best_i[p[1]] = p[0]
+                agreed = {p for p in votes if p in sure or best_d[p[0]] == p[1] and best_i[p[1]] == p[0]}
+                good = {at for at, exact, slots in windows if exact or slots <= agreed}
+                if 2 * len(good) > len({at for at, _, _ in windows}):
+                    width = max(total, window)
+                    for zone in (offset // width, offset // width + 1):
+                        zones[zone] |= good
+            if any(len(z) >= min_run or len(z) >= min_cover * total for z in zones.values()):
+                found.append(item)
+        out[doc] = found
+    return out

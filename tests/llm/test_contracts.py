@@ -1,6 +1,8 @@
 """Operators against brute force, on awkward rows."""
 
+import random
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -34,6 +36,38 @@ def test_licenses(docs):
     same(licenses.scan_licenses(docs), brute.op1(ROWS), "n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
+def test_notices_are_verified_in_order(spark):
+    """Edited notices are found; their grams in reverse order or far apart are not. All labels and scores as in brute force."""
+    r = random.Random(2)
+    rows = []
+    for notice in licenses.NOTICES:
+        w = notice.split()
+        grams = [f"{a} {b}" for a, b in zip(w, w[1:])]
+        rows += [" ".join(w), " xx ".join([notice] * 3), " ".join(w[:5] + ["new"] + w[5:]), " ".join(w[:6] + w[7:]), " ".join(reversed(grams)),
+                 " far off it is ".join(grams), " ".join(r.sample(grams, len(grams))), " ".join(w[:len(w) // 2])]
+        rows += [" ".join(x for x in w if r.random() < 0.9) + " of the " + " ".join(r.choices(w, k=30)) for _ in range(6)]
+    rows += ["", None, "of the of the " * 500]
+    docs = [(k, t) for k, t in enumerate(rows)]
+    base = brute.op1(docs)
+    want = {}
+    for k, t in docs:
+        labels, score = brute.op1_notices(t)
+        mine = {x for x in base[k][4].split(",") if x}
+        want[k] = (",".join(sorted(labels | mine)), round(1.0 if mine else score, 9))
+    df = spark.createDataFrame([(k, t, 1) for k, t in docs], "doc_id long, text string, pos int")
+    got = {x.doc_id: (x.labels, round(x.score, 9)) for x in licenses.scan_licenses(df).collect()}
+    assert got == want
+    assert all(got[14 * k + j][0] for k in range(len(licenses.NOTICES)) for j in range(4))
+    assert not any(got[14 * k + j][0] != base[14 * k + j][4] for k in range(len(licenses.NOTICES)) for j in (4, 5))
+
+
+def test_license_places_of_one_id_stay_apart(spark):
+    rows = [(1, "gnu general x"), (1, "q general public license"), (None, "mit license"), (None, "mit"), (2, "cc by"), (2, "cc by")]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_base, r.labels) for r in got) == [("1", 0, ""), ("1", 0, ""), ("2", 1, "cc-by"), ("None", 0, ""), ("None", 1, "mit")]
+    assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
 def chained(words):
     h = 42
     for w in words:
@@ -213,3 +247,59 @@ def test_pii_without_lead_words(spark):
     rows = [(100 * i + j, t) for i, t in enumerate(forms + wrong) for j in range(100)]
     got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_more").collect()
     assert {(r.doc_id // 100, r.n_more) for r in got} == {(i, int(i < 4)) for i in range(6)}
+
+
+def iban(body, right):
+    """GB number with right or wrong check digits."""
+    rest = int("".join(str(int(c, 36)) for c in body + "GB00")) % 97
+    return f"GB{(98 - rest + (0 if right else 7)) % 97:02d}{body}"
+
+
+def test_pii_is_decided_span_by_span(spark):
+    """In one mix of alike spans those that hold are redacted, whatever company they keep. Held out: no span is labelled by hand."""
+    r = random.Random(9)
+    body = lambda: "NWBK" + "".join(r.choices("123456789", k=14)) + "22"
+    numbers = [iban(body(), k < 80) for k in range(200)]
+    possible = [f"{r.randrange(100, 665)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}" for _ in range(120)]
+    impossible = [f"000-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}" for _ in range(80)]
+    rows = [(k, f"so take {n} then") for k, n in enumerate(numbers)] + [(1000 + k, f"so take {n} then") for k, n in enumerate(possible + impossible)]
+    rows += [(5000, None), (5001, ""), (None, f"so take {numbers[0]} then"), (None, f"so take {numbers[0]} then")]
+    r.shuffle(rows)
+    got = pii.find_pii(spark.createDataFrame([(*x, "c") for x in rows], "doc_id long, text string, base string")).collect()
+    assert len(got) == len(rows)
+    found = {x.doc_id for x in got if x.spans}
+    wrong = {x.doc_id for x in got if x.n_more} - {None, *range(80), *range(1000, 1120)}
+    assert found >= {None, *range(80)} and not wrong
+    assert len(found & set(range(1000, 1120))) >= 100
+
+
+def test_contamination_equals_brute_force(spark):
+    r = random.Random(11)
+    words = ("mill river farmer sack flour week flood wheel stone town worker oak train leaves at meets Anna Berta Rome Oslo sold bought km kg hours 12 7 45 3 18").split()
+    items = [(k, " ".join(r.choices(words, k=r.choice([3, 6, 9, 14, 25])))) for k in range(25)] + [(90, None), (91, "")]
+
+    def changed(text):
+        swap = {w: r.choice(words) for w in ("12", "7", "45", "Anna", "Rome", "km")}
+        out = [swap.get(w, w) if r.random() < 0.8 else w for w in text.split()]
+        if r.random() < 0.4:
+            out.insert(r.randrange(len(out) + 1), r.choice(words))
+        return " ".join(out)
+
+    docs = [(k, " ".join(r.choices(words, k=20)) + " " + changed(items[k % 25][1]) + " " + " ".join(r.choices(words, k=10))) for k in range(75)]
+    docs += [(200, None), (201, ""), (202, " ".join(t for _, t in items if t))]
+    docs_df = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, h string, pos int")
+    got = {x.doc_id: x["items"] for x in decontaminate.mark_contaminated(docs_df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute.op6(docs, items)
+    assert got == want and sum(map(bool, want.values())) > 30
+
+
+def test_contamination_of_long_items_is_quick(spark):
+    """An item of 2,000 tokens with all its numbers replaced; thousands of items of one template."""
+    r = random.Random(12)
+    text = " ".join(f"{r.randrange(1000)}" if k % 5 == 0 else f"w{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}" for k in range(2000))
+    again = " ".join(str(int(w) + 5000) if w.isdigit() else w for w in text.split())
+    began = time.time()
+    assert _items(spark, [again], [text]) == {0: [0]}
+    assert time.time() - began < 60
+    sums = [f"what is the sum of {a} and {a + 7} in the ring" for a in range(2000)]
+    assert len(_items(spark, [sums[5], "nothing of the kind is said"], sums)[0]) >= 1

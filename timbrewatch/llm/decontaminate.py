@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from timbrewatch.llm.common import materialise
 
@@ -133,17 +133,23 @@ def _keyed(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("text_mark"), "text")
 
 
-def _agreed(windows: str) -> Column:
-    """Slot pairs of which none contradicts another: those of verbatim windows first, then by windows that hold them."""
-    pairs = F.flatten(F.transform(windows, lambda w: F.transform(F.array_distinct(w["slots"]), lambda p: F.struct(
-        w["exact"].alias("exact"), p.alias("p")))))
-    votes = lambda p: F.size(F.filter(windows, lambda w: F.array_contains(w["slots"], p)))
-    ranked = F.array_sort(F.transform(F.array_distinct(pairs), lambda x: F.struct(
-        (~x["exact"]).alias("late"), (-votes(x["p"])).alias("votes"), x["p"].alias("p"))))
-    clash = lambda a, p: (a["i"] == p["i"]) != (a["d"] == p["d"])
-    none = F.array().cast("array<struct<i:string,d:string>>")
-    return F.aggregate(ranked, none, lambda kept, x: F.when(x["late"] & F.exists(kept, lambda a: clash(a, x["p"])), kept).otherwise(
-        F.concat(kept, F.array(x["p"]))))
+def _agreed(hits: DataFrame, key: list[str]) -> DataFrame:
+    """``key``, ``hit`` (places of the item that were met) and ``at`` (those that count) from windows with their slots.
+
+    A slot pair gets the votes of the windows that hold it. It is agreed if a verbatim window holds
+    it, or if it is the best pair of its item value and of its document value: pairs of
+    verbatim windows first, then by votes. Counts over the slots, so linear in them but for sorting.
+    """
+    windows = hits.groupBy(*key, "i_pos", "exact", "slots").agg(F.lit(1).alias("one")).withColumn("slots_mark", F.xxhash64("slots"))
+    slots = windows.select(*key, "i_pos", "exact", "slots_mark", F.inline_outer(F.array_distinct("slots"))).repartition(*key)
+    pair, item, text = (Window.partitionBy(*key, *c) for c in (("i", "d"), ("i",), ("d",)))
+    voted = slots.withColumns({"votes": F.count("*").over(pair), "sure": F.max("exact").over(pair)})
+    voted = voted.withColumns({"best_d": F.max(F.struct("sure", "votes", "d")).over(item)["d"],
+                               "best_i": F.max(F.struct("sure", "votes", "i")).over(text)["i"]})
+    fine = F.col("i").isNull() | F.col("sure") | ((F.col("best_d") == F.col("d")) & (F.col("best_i") == F.col("i")))
+    judged = voted.groupBy(*key, "i_pos", "exact", "slots_mark").agg(F.min(fine).alias("fine"))
+    return judged.groupBy(*key).agg(
+        F.size(F.collect_set("i_pos")).alias("hit"), F.collect_set(F.when(F.col("exact") | F.col("fine"), F.col("i_pos"))).alias("at"))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cover: float = 0.5,
@@ -191,11 +197,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         "stream", "id", "text_mark", "item_id", "i_mark", "n_all", "i_pos", (F.col("pos") - F.col("i_pos")).alias("offset"), pairs.alias("pairs"))
     hits = hits.filter(F.forall("pairs", lambda p: (p["alike"] & (F.col("stream") < 2)) | (p["i"] == p["d"])))
     slots_of = F.transform(F.filter("pairs", lambda p: p["slot"]), lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d")))
-    runs = hits.groupBy("id", "text_mark", "item_id", "i_mark", "n_all", "offset").agg(F.collect_set(F.struct(
-        "i_pos", F.forall("pairs", lambda p: p["i"] == p["d"]).alias("exact"), slots_of.alias("slots"))).alias("windows"))
-    runs = runs.withColumn("agreed", _agreed("windows")).select("id", "text_mark", "item_id", "i_mark", "n_all", "offset", F.size(
-        F.array_distinct(F.transform("windows", lambda w: w["i_pos"]))).alias("hit"), F.array_distinct(F.transform(
-        F.filter("windows", lambda w: w["exact"] | F.forall(w["slots"], lambda p: F.array_contains("agreed", p))), lambda w: w["i_pos"])).alias("at"))
+    key = ["id", "text_mark", "item_id", "i_mark", "n_all", "offset"]
+    runs = _agreed(hits.select(*key, "i_pos", F.forall("pairs", lambda p: p["i"] == p["d"]).alias("exact"), slots_of.alias("slots")), key)
     # A dropped or added word moves the offset, so runs at offsets within the item's length of each other count together.
     # Each is put into two overlapping ranges of offsets; a place of the item counts once in a range.
     width = F.greatest(F.col("n_all"), F.lit(window))

@@ -24,6 +24,8 @@ WIDE = {
     "spelt_email": r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{1,64}\x20?[(\[](?:at|@)[)\]]\x20?[a-z0-9.-]{1,253}",
     "bank_number": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
 }
+#: How often a random string of the kind's form passes `plausible`: two check digits, or shares of the numbers that are given out.
+CHANCE = {"local_phone": 0.72, "id_number": 0.889, "spelt_email": 0.5, "bank_number": 1 / 97}
 KINDS = ["email", "ip", "card", "phone", *WIDE]
 FEATURES = ["long", "signs", "led", "lettered", "zeroes", "varied", "near_other"]
 
@@ -52,7 +54,8 @@ def base_spans(text: Column) -> dict[str, Column]:
 def plausible(s: Column) -> Column:
     """Whether a wide candidate passes what its kind's issuer demands: ranges, check digits or the form of a domain.
 
-    Features and lead words play no part, so this is evidence apart from what the trees see.
+    Features and lead words play no part, so this is evidence apart from what the trees see, and
+    about this very span.
     """
     value, digits = s["value"], _digits(s["value"])
     whole = F.regexp_replace(value, r"\x20", "")
@@ -116,9 +119,11 @@ def boost(counts: list[tuple[int, int, float, float]], rounds: int = 24, rate: f
 def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row per input row: base spans with counts, and wide spans that the trees select.
 
-    Labels are weak, as there are no true ones: base spans that hold are positive, wide
-    candidates as they are ``plausible``. Pattern counts cover all candidates; probabilities are shrunk to the observed rate of their
-    pattern (calibration) and meet ``threshold``. Lead words are one feature of the trees and nothing else.
+    The trees tell from format and context how often such candidates hold; as there are no
+    true labels, base spans that hold are positive, and wide candidates as they are ``plausible``. Counts cover all
+    candidates, and probabilities are shrunk to the observed rate of their pattern (calibration). The decision is about each span: its
+    own check digits or ranges turn that rate into the span's probability, by how often a
+    random string would pass them (`CHANCE`); one that fails is never selected, and one that passes is if it meets ``threshold``.
 
     Null text is empty. Repeated rows are all returned, extra columns ignored.
     Nothing is shuffled but pattern counts.
@@ -143,10 +148,10 @@ def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     chosen = []
     for k, p, pos, neg in counts:
         calibrated = (odds[k, p] * 20 + pos) / (20 + pos + neg)
-        if k >= len(base) and calibrated >= threshold:
+        if k >= len(base) and calibrated / (calibrated + (1 - calibrated) * CHANCE[KINDS[k]]) >= threshold:
             chosen.append(k * 1000 + p)
     pick = F.array(*(F.lit(c) for c in chosen)).cast("array<bigint>")
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    extra = F.filter("wide", lambda s: F.array_contains(pick, (s["rank"] * 1000 + s["pattern"]).cast("long")) & free(s))
+    extra = F.filter("wide", lambda s: (s["sound"] == 1) & F.array_contains(pick, (s["rank"] * 1000 + s["pattern"]).cast("long")) & free(s))
     return rows.select("doc_id", *(f"n_{k}" for k in base), F.sha2(spell(F.sort_array("base")), 256).alias("base_sha256"),
                        spell(F.sort_array(F.concat("base", extra))).alias("spans"), F.size(extra).cast("long").alias("n_more"))
