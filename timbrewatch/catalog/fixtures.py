@@ -126,6 +126,13 @@ def confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def confirmation_stream(events: DataFrame) -> DataFrame:
+    """The same from a stream of events; heartbeats keep a time and no id."""
+    sure = F.col("user_id").isNotNull() & (k_of() >= 10)
+    return events.select(F.when(sure, F.col("event_id")).alias("event_id"),
+                         (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=k_of())).alias("confirmed_ts"))
+
+
 def window_no() -> Column:
     return F.floor(F.col("frame_no") / FRAMES_PER_WINDOW).cast("bigint")
 

@@ -515,3 +515,6 @@ oracle("live_holds_stream", "chunks hop_windows txns", """
     where age = 1""")
 oracle("tier_transition_live", VERDICTS, EDGES)
 oracle("call_status_live", VERDICTS, STATUS)
+oracle("confirmations_live", f"{VERDICTS} confirmations", """
+    select v.event_id, v.call_id, v.event_ts, (epoch_us(c.confirmed_ts) - epoch_us(v.event_ts)) // 1000 as delay_ms
+    from verdicts v left join confirmations c on c.event_id = v.event_id where v.tier = 'HIGH'""")

@@ -28,7 +28,7 @@ from timbrewatch.sources.audit_store import read_log
 from timbrewatch.sources.chunks import dedup_chunks, read_chunks
 from timbrewatch.sources.enrollment import latest_enrollment
 from timbrewatch.schemas import EVENTS
-from timbrewatch.streaming import calls, guard as guard_stream, live, status as status_stream, windows as window_stream
+from timbrewatch.streaming import calls, confirm, guard as guard_stream, live, status as status_stream, windows as window_stream
 from timbrewatch.streaming.audit import audit_sink
 from timbrewatch.streaming.replay import each_batch, finish, to_table
 
@@ -755,3 +755,14 @@ def call_status_live(spark, sf_dir):
         updates = calls.latest_verdicts(_live_verdicts(session, f"{folder}/events"), "event_ts", "event_id", "1 day", IDLE)
         each_batch(updates, status_stream.status_sink(f"{folder}/status"), f"{folder}/checkpoint", "update")
     return status_stream.read_status(spark, f"{folder}/status").drop("event_id").withColumns({**plain_ts("event_ts"), **rounded(8, "risk_score")})
+
+
+@query
+def confirmations_live(spark, sf_dir):
+    """HIGH verdicts with the delay of their confirmation; null where none came in an hour."""
+    session, folder = streaming_session(spark), scratch_dir(spark, "confirmations")
+    for _ in fx.arriving_events(spark, sf_dir, f"{folder}/events"):
+        came = fx.confirmation_stream(_live_source(session, f"{folder}/events"))
+        rows = confirm.confirmations_stream(_live_verdicts(session, f"{folder}/events"), came, HOUR, "1 day", "1 day")
+        finish(rows.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/rows"))
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows").withColumns(plain_ts("event_ts"))
