@@ -80,7 +80,7 @@ def test_holds_name_the_latest_verdict(spark, feed):
         return live.holds_of_stream(windows(s), txns, 300, "1 minute")
 
     rows = [(k % 3, at(k * 0.75), ((k * 37) % 100) / 100, k) for k in range(120)]
-    for part in (rows[:50], rows[50:90], rows[90:], [(None, at(5000), None, None)], [(None, at(9000), None, None)]):
+    for part in (rows[:50], rows[50:90], rows[90:], *([(None, at(5000 * k), None, None)] for k in (1, 2, 3))):
         out = feed(schema, part, build)
     batch = spark.createDataFrame(rows, schema)
     high = batch.groupBy("call_id", F.window("ts", "4 minutes", "2 minutes").alias("w")).agg(F.max("risk").alias("value")).where("value >= 0.7").select(

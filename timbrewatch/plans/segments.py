@@ -48,7 +48,9 @@ class Segments:
     segment: Column
 
     def cut(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(SEG, self.segment)
+        """Rows dealt by (key, segment). Said outright: rows dealt by key alone, as after a join on it, would
+        satisfy the windows too and leave a busy key in one task."""
+        return df.withColumn(SEG, self.segment).repartition(*self.by)
 
     @property
     def by(self) -> list[str]:

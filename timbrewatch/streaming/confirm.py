@@ -19,8 +19,9 @@ def confirmations_stream(verdicts: DataFrame, confirmations: DataFrame, wait_sec
     high = verdicts.withWatermark(ts, verdict_delay).where(
         F.when(F.col(ts).isNotNull(), (F.col("tier") == "HIGH") & F.col("event_id").isNotNull())).select("event_id", "call_id", ts)
     came = confirmations.withWatermark("confirmed_ts", confirmation_delay).where(
-        F.when(F.col("confirmed_ts").isNotNull(), F.col("event_id").isNotNull())).select(F.col("event_id").alias("_id"), "confirmed_ts")
-    until = F.col(ts) + F.make_dt_interval(secs=F.lit(wait_seconds))
+        F.when(F.col("confirmed_ts").isNotNull(), F.col("event_id").isNotNull())).select(
+        F.when(F.col("confirmed_ts").isNotNull(), F.col("event_id")).alias("_id"), "confirmed_ts")
+    until = F.col(ts) + F.expr(f"interval {wait_seconds} seconds")  # a literal: the check of watermarks reads it
     joined = high.join(came, (F.col("event_id") == F.col("_id")) & (F.col("confirmed_ts") >= F.col(ts)) & (F.col("confirmed_ts") <= until), "leftOuter")
     delay = ((micros(F.col("confirmed_ts")) - micros(F.col(ts))) / 1000).cast("bigint")
     return joined.select("event_id", "call_id", ts, delay.alias("delay_ms"))
