@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from timbrewatch.config import FrameSpec, LogisticModel, RiskConfig
 from timbrewatch.functions.hashing import digest
-from timbrewatch.operators import detect, prosody, risk, spectral
+from timbrewatch.operators import detect, linked, prosody, risk, spectral
 from timbrewatch.plans.segments import Segments, index_segment, position
 from timbrewatch.schemas import EVENTS, RISK_CONFIG
 from timbrewatch.sources.chunks import read_chunks
@@ -150,13 +150,9 @@ def contour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spectral_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All spectral measures per frame, with the neighbouring frame looked up once."""
-    spec = spectral.mel_spectrogram(spectral.vocoder_artifacts(spectrum(spark, sf_dir), SPEC), SPEC)
-    return (
-        spectral.with_previous_frame(spec, "power", "phase", "mel_db")
-        .withColumns({"flux": spectral.flux_of(), "phase_dev": spectral.phase_dev_of(SPEC)})
-        .drop("_prev", "power", "phase", "mel_db")
-    )
+    """All spectral measures per frame."""
+    return linked.measure_frames(frames(spark, sf_dir), SPEC).select(
+        "call_id", "frame_no", *detect.MEASURES)
 
 
 def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,10 +206,10 @@ PARTS = {
 RECURSIVE = {"chained", "nodes"}
 
 
-def oracle(name: str, parts: str, statement: str) -> None:
+def oracle(name: str, parts: str, statement: str, **replaced: str) -> None:
     names = parts.split()
     names = [n for n in names if n]
-    head = ", ".join(f"{p} as ({PARTS[p]})" for p in names)
+    head = ", ".join(f"{p} as ({replaced.get(p) or PARTS[p]})" for p in names)
     kind = "recursive " if RECURSIVE & set(names) else ""
     ORACLES[name] = f"with {kind}{head} {statement}" if names else statement
 
@@ -235,6 +235,16 @@ oracle("pcm_unpack", "frames samples", """
     select 'call-' || call_id || '-' || (frame_no // 64) as clip, 16000 as sample_rate, count(*) as n_samples,
            ((count(*) - 1) // 1000 * 1000)::bigint as last_block, sum(q)::bigint as total, min(q) as low, max(q) as high
     from (select *, floor(x * 32767 + 0.5)::bigint as q from samples) group by call_id, frame_no // 64""")
+ORACLES["clip_ranges"] = ORACLES["pcm_unpack"]
+oracle("clip_verdicts", SCORES, """
+    select call_id as clip, window_no, round(spoof_prob, 6) as spoof_prob,
+           case when spoof_prob >= 0.7::double then 'HIGH' when spoof_prob >= 0.4::double then 'MEDIUM' else 'LOW' end as tier,
+           case when spoof_prob >= 0.7::double then 'block' when spoof_prob >= 0.4::double then 'challenge'
+                else 'normal' end as action, spoof_prob >= 0.7::double as freeze_txn
+    from scores""", frames="""
+    select 'call-' || label || '-' || (n // 64) as call_id, n % 64 as frame_no,
+           list_transform(embedding, lambda v: floor(v::double * 32767 + 0.5) / 32768) as embedding
+    from (select *, row_number() over (partition by label order by vec_id) - 1 as n from embeddings)""")
 oracle("chunk_stream_source", CHUNKS, "select * from chunks")
 oracle("chunk_dedup", CHUNKS, """
     select call_id, seq, event_ts, event_ts as ingest_ts, amplitude from chunks""")

@@ -23,7 +23,7 @@ from timbrewatch.operators import (
 )
 from timbrewatch.plans.live import window_audit, window_verdicts
 from timbrewatch.session import scratch_dir, streaming_session
-from timbrewatch.sources import clips as clip_source
+from timbrewatch.sources import clips as clip_source, wav
 from timbrewatch.sources.audit_store import read_log
 from timbrewatch.sources.chunks import dedup_chunks, read_chunks
 from timbrewatch.sources.enrollment import latest_enrollment
@@ -97,6 +97,30 @@ def pcm_unpack(spark, sf_dir):
     )
 
 
+def _clip_of() -> Column:
+    return F.regexp_extract("clip", r"([^/]+)\.wav$", 1)
+
+
+@query
+def clip_ranges(spark, sf_dir):
+    """The same from byte ranges: parts of 4,000 bytes, which end inside clips and blocks."""
+    blocks = wav.read_blocks(spark, _clip_folder(spark, sf_dir), 1000, split_bytes=4000)
+    return blocks.groupBy(_clip_of().alias("clip"), "sample_rate").agg(
+        F.sum(F.size("samples")).alias("n_samples"), F.max("start_sample").alias("last_block"),
+        F.sum(F.aggregate("samples", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("total"),
+        F.min(F.array_min("samples")).cast("bigint").alias("low"), F.max(F.array_max("samples")).cast("bigint").alias("high"))
+
+
+@query
+def clip_verdicts(spark, sf_dir):
+    """From WAV files to verdicts per window: blocks, frames, features, score, tier."""
+    blocks = wav.read_frame_blocks(spark, _clip_folder(spark, sf_dir), SPEC, frames=20, split_bytes=4000)
+    scores = detect.clip_scores(blocks, SPEC, fx.MODEL, fx.FRAMES_PER_WINDOW)
+    rows = risk.verdicts(scores.withColumn("speaker_sim", F.lit(None).cast("double")), CFG)
+    return rows.select(F.regexp_extract("call_id", r"([^/]+)\.wav$", 1).alias("clip"), "window_no",
+                       F.round("spoof_prob", 6).alias("spoof_prob"), "tier", "action", "freeze_txn")
+
+
 @query
 def chunk_stream_source(spark, sf_dir):
     stream = fx.chunk_stream(streaming_session(spark), sf_dir)
@@ -245,12 +269,12 @@ def mel_spectrogram(spark, sf_dir):
 
 @query
 def mel_irregularity(spark, sf_dir):
-    return spectral.mel_irregularity(fx.mel(spark, sf_dir)).withColumns(rounded(5, "flux", "flux_z"))
+    return spectral.flux_scores(fx.spectral_frames(spark, sf_dir)).withColumns(rounded(5, "flux", "flux_z"))
 
 
 @query
 def phase_deviation(spark, sf_dir):
-    return spectral.phase_deviation(fx.spectrum(spark, sf_dir), SPEC).withColumns(rounded(5, "phase_dev"))
+    return fx.spectral_frames(spark, sf_dir).select("call_id", "frame_no", F.round("phase_dev", 5).alias("phase_dev"))
 
 
 @query

@@ -15,6 +15,8 @@ from pyspark.sql import Column, functions as F
 from timbrewatch.config import FrameSpec
 
 POWER_FLOOR = 1e-10
+#: 16-bit samples are scaled to [-1, 1).
+FULL_SCALE = 32768.0
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -40,16 +42,47 @@ def hann(n: int) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
 
 
+def spectra_of(x: np.ndarray, taper: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Power and phase per frame and bin."""
+    n = x.shape[1]
+    z = np.fft.rfft(x * hann(n) if taper else x, axis=1) if n else np.zeros((0, 0), complex)
+    return np.abs(z) ** 2 / max(n, 1), np.angle(z)
+
+
+def decibels_of(power: np.ndarray, bank: np.ndarray) -> np.ndarray:
+    return 10.0 * np.log10(np.maximum(power @ bank, POWER_FLOOR))
+
+
+def vocoder_of(power: np.ndarray, first_high: int, share: float, step: float) -> tuple[np.ndarray, ...]:
+    """Flatness, energy share from bin ``first_high`` on, and roll-off in hertz."""
+    p = np.maximum(power, POWER_FLOOR)
+    total = p.sum(axis=1)
+    return (np.exp(np.log(p).mean(axis=1)) / p.mean(axis=1), p[:, first_high:].sum(axis=1) / total,
+            (p.cumsum(axis=1) >= share * total[:, None]).argmax(axis=1) * step)
+
+
+def flux_of(mel: np.ndarray) -> np.ndarray:
+    """Euclidean distance of each row from the row before it."""
+    return np.sqrt((np.diff(mel, axis=0) ** 2).sum(axis=1))
+
+
+def phase_dev_of(power: np.ndarray, phase: np.ndarray, spec: FrameSpec, floor: float) -> np.ndarray:
+    """Mean deviation of the phase advance from each row before from a steady tone's; NaN where no bin counts."""
+    bins, turn = np.arange(power.shape[1]), 2 * np.pi
+    raw = np.diff(phase, axis=0) - bins * (turn * spec.hop / spec.length)
+    usable = (power[1:] >= floor) & (power[:-1] >= floor) & (bins > 0) & (bins < spec.length / 2)
+    total = np.where(usable, np.abs(raw - turn * np.rint(raw / turn)), 0.0).sum(axis=1)
+    n = usable.sum(axis=1)
+    return np.divide(total, n, out=np.full(len(n), np.nan), where=n > 0)
+
+
 def spectrum(samples: Column, taper: bool = True) -> Column:
     """``struct<power, phase>`` per bin: squared magnitude over length, and angle."""
 
     @F.arrow_udf("struct<power:array<double>,phase:array<double>>")
     def transform(frames: pa.Array) -> pa.Array:
-        x = matrix(frames)
-        n = x.shape[1]
-        z = np.fft.rfft(x * hann(n) if taper else x, axis=1) if n else np.zeros((0, 0), complex)
         return pa.StructArray.from_arrays(
-            [arrow_lists(np.abs(z) ** 2 / max(n, 1)), arrow_lists(np.angle(z))], ["power", "phase"])
+            [arrow_lists(v) for v in spectra_of(matrix(frames), taper)], ["power", "phase"])
 
     return transform(samples)
 
@@ -77,8 +110,7 @@ def mel_db(power: Column, spec: FrameSpec) -> Column:
     @F.arrow_udf("array<double>")
     def project(powers: pa.Array) -> pa.Array:
         p = matrix(powers)
-        energy = p @ bank if p.size else np.zeros((len(powers), 0))
-        return arrow_lists(10.0 * np.log10(np.maximum(energy, POWER_FLOOR)))
+        return arrow_lists(decibels_of(p, bank) if p.size else np.zeros((len(powers), 0)))
 
     return project(power)
 
@@ -90,15 +122,8 @@ def vocoder_measures(power: Column, spec: FrameSpec, high_hz: float, share: floa
 
     @F.arrow_udf("struct<flatness:double,high_ratio:double,rolloff_hz:double>")
     def measure(powers: pa.Array) -> pa.Array:
-        p = np.maximum(matrix(powers), POWER_FLOOR)
-        if not p.size:
-            columns = [np.zeros(0)] * 3
-        else:
-            total = p.sum(axis=1)
-            flatness = np.exp(np.log(p).mean(axis=1)) / p.mean(axis=1)
-            high = p[:, first_high:].sum(axis=1) / total
-            rolloff = (p.cumsum(axis=1) >= share * total[:, None]).argmax(axis=1) * step
-            columns = [flatness, high, rolloff]
+        p = matrix(powers)
+        columns = vocoder_of(p, first_high, share, step) if p.size else [np.zeros(0)] * 3
         return pa.StructArray.from_arrays(
             [pa.array(c, type=pa.float64()) for c in columns], ["flatness", "high_ratio", "rolloff_hz"])
 

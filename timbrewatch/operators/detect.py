@@ -10,9 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from timbrewatch.config import FrameSpec, LogisticModel
-from timbrewatch.functions import spectral as fs
-from timbrewatch.functions.prosody import pitch_track
-from timbrewatch.operators import prosody, spectral
+from timbrewatch.operators import linked, prosody
 from timbrewatch.plans.segments import micros, time_segment
 
 
@@ -37,22 +35,23 @@ def assemble(spectral: DataFrame, prosody: DataFrame, on: Sequence[str],
 
 
 def frame_measures(frames: DataFrame, spec: FrameSpec, *by: str) -> DataFrame:
-    """All spectral and prosodic measures per frame, with ``mel_db``.
+    """All spectral and prosodic measures per frame, with ``mel_db``: one pass, and samples in its one shuffle."""
+    return with_changes(linked.measure_frames(frames, spec, *by))
 
-    The Arrow functions run in one Python pass, and the neighbouring frame is
-    looked up once for all measures, with one shuffle.
+
+def with_changes(measured: DataFrame) -> DataFrame:
+    """Add the steps of pitch and peak to the measures of ``linked``."""
+    return measured.withColumns(prosody.steps_of()).drop("_prev")
+
+
+def clip_scores(blocks: DataFrame, spec: FrameSpec, model: LogisticModel, frames_per_window: int) -> DataFrame:
+    """``call_id, window_no`` with features and ``spoof_prob`` from blocks of clips; a clip is a call.
+
+    One shuffle, of partial sums per window, whatever the length of a clip.
     """
-    measured = frames.select(
-        "call_id", "frame_no", *by, fs.spectrum(F.col("samples")).alias("_s"),
-        pitch_track(F.col("samples"), spec).alias("_p"))
-    spectra = measured.select(
-        "call_id", "frame_no", *by, F.col("_s.power").alias("power"), F.col("_s.phase").alias("phase"),
-        "_p.peak", "_p.f0", F.col("_p.f0").isNotNull().alias("voiced"))
-    banded = spectral.mel_spectrogram(spectral.vocoder_artifacts(spectra, spec), spec)
-    paired = spectral.with_previous_frame(banded, "power", "phase", "mel_db", *prosody.STEP_COLUMNS)
-    return paired.withColumns({
-        "flux": spectral.flux_of(), "phase_dev": spectral.phase_dev_of(spec), **prosody.steps_of(),
-    }).drop("_prev", "power", "phase")
+    per_frame = with_changes(linked.measure_blocks(blocks, spec)).withColumnRenamed("clip", "call_id").withColumn(
+        "window_no", F.floor(F.col("frame_no") / frames_per_window).cast("bigint"))
+    return spoof_score(summarise_frames(per_frame, "window_no"), model)
 
 
 def summarise_frames(measures: DataFrame, *by: str) -> DataFrame:

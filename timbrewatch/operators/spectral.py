@@ -54,7 +54,12 @@ def mel_irregularity(mel: DataFrame) -> DataFrame:
     execution: broadcast when the statistics prove small, otherwise a merge join
     whose oversized partitions are split.
     """
-    flux = spectral_flux(mel.select("call_id", "frame_no", "mel_db")).select("call_id", "frame_no", "flux")
+    return flux_scores(spectral_flux(mel.select("call_id", "frame_no", "mel_db")))
+
+
+def flux_scores(flux: DataFrame) -> DataFrame:
+    """``flux_z`` of each frame's ``flux`` within its call."""
+    flux = flux.select("call_id", "frame_no", "flux")
     stats = flux.groupBy("call_id").agg(
         F.avg("flux").alias("_mean"), F.stddev_samp("flux").alias("_sd"))
     z = (F.col("flux") - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0))
