@@ -230,3 +230,80 @@ def op6(docs, items, window=8, min_cover=0.5, min_run=6):
                 found.append(item)
         out[doc] = found
     return out
+
+
+def _spark_hash(*values):
+    """Spark's xxhash64 of long, (int,) and string values; null leaves the seed as it is."""
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else v[0].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+            h = xxhash.xxh64(raw, seed=h).intdigest()
+    return h
+
+
+def _signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def op3(docs, labels, temperature=0.25, seed=7, smooth=5.0, rare=16.0):
+    """{(doc_id, text): (log_weight, key, copies)} and the cut, by dictionaries."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+    import regex
+
+    def grams(text):
+        words = regex.findall(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+", (text or "").lower())
+        return [_spark_hash(*w) % (1 << 17) for w in [*((w,) for w in words), *zip(words, words[1:])]]
+
+    rated = {}
+    for i, q, t in labels:
+        if i is not None:
+            a, b = rated.get(i, (True, True))
+            rated[i] = (a and q == 1, b and not t)
+    fitted = [(_signed(_spark_hash(t, (5,))) % 5, *rated[i], grams(t)) for i, t in docs if i in rated]
+    uses, fine, rows, clean = Counter(), Counter(), Counter(), Counter()
+    n_fit = n_clean = 0
+    for fold, is_fine, is_clean, g in fitted:
+        if fold < 3:
+            n_fit, n_clean = n_fit + 1, n_clean + is_clean
+            uses.update(g)
+            rows.update(set(g))
+            fine.update(g if is_fine else [])
+            clean.update(set(g) if is_clean else [])
+    share = sum(fine.values()) / max(1, sum(uses.values())) or 1.0
+    clean_share = n_clean / max(1, n_fit) or 1.0
+
+    def quality(c):
+        return math.log((fine[c] + smooth * share) / (share * (uses[c] + smooth)))
+
+    def toxic(c):
+        n = rows[c]
+        z2 = (clean[c] - n * clean_share) ** 2 / (n * clean_share * (1 - clean_share) + 1e-9)
+        return math.log((clean[c] + 0.5 * clean_share) / (clean_share * (n + 0.5))) * (z2 / (z2 + rare)) ** 2
+
+    def means(g):
+        return [sum(map(f, g)) / len(g) for f in (quality, toxic)] if g else None
+
+    side = np.array([means(g) for fold, a, b, g in fitted if fold == 3 and a and b and g])
+    center = np.median(side, axis=0)
+    spread = np.maximum(center - np.quantile(side, 0.02, axis=0), 1e-3)
+
+    def score(g):
+        m = means(g)
+        return round(float(min((np.array(m) - center) / spread)) * len(g) / (len(g) + 50), 6) if m else 0.0
+
+    tune = [(score(g), a and b) for fold, a, b, g in fitted if fold == 3]
+    best, cut = 0.0, -math.inf
+    for at in sorted({s for s, _ in tune}):
+        gain = [sum(s < at for s, good in tune if good == on) / max(1, sum(good == on for _, good in tune)) for on in (False, True)]
+        if gain[0] - gain[1] > best:
+            best, cut = gain[0] - gain[1], at
+    out = {}
+    for (i, t), copies in Counter(docs).items():
+        u = ((_spark_hash(_signed(_spark_hash(i, t)), (seed,)) >> 11) + 0.5) / float(1 << 53)
+        weight = score(grams(t))
+        out[i, t] = (weight, weight / temperature - math.log(-math.log(u)), copies)
+    return out, cut

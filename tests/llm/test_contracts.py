@@ -194,6 +194,24 @@ def test_quality_of_long_texts(spark):
     assert sum(x.rejected for x in left if x.good) <= 0.1 * sum(x.n for x in left if x.good)
 
 
+@pytest.mark.parametrize("k", [None, 40])
+def test_quality_scores_and_selection_equal_brute_force(spark, k):
+    r = random.Random(11)
+    word = lambda: r.choice(["alpha", "beta", "Gamma", "été", "x9", "ΔΣ", "menu", "idiot"] + [f"w{i}" for i in range(60)])
+    rows = [(i, " ".join(word() + (" |" if i % 4 == 0 else ".") for _ in range(r.randrange(3, 80)))) for i in range(300)]
+    rows += [(400, None), (401, ""), (None, "no id"), (402, "w1 w2"), (402, "w3"), (402, "w3"), (403, "w5 | " * 4000), *rows[:5]]
+    labels = [(i, int(i % 4 != 0), int("idiot" in t)) for i, t in rows[:260]] + [(400, 1, 0), (None, 0, 1), (3, 0, None)]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, key string")
+    rated = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality.resample(docs, rated, k).collect()
+    want, cut = brute.op3(rows, labels)
+    limit = k or sum(w >= cut for w, *_ in want.values())
+    kth = sorted((key for _, key, _ in want.values()), reverse=True)[limit - 1]
+    spelled = lambda i, n, w, key, on: (str(i), n, round(w, 5), round(key, 4), on)
+    assert sorted(spelled(x.doc_id, x.copies, x.log_weight, x.key, x.selected) for x in got) == sorted(
+        spelled(i, n, w, key, key >= kth) for (i, _), (w, key, n) in want.items())
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text"), (2, None), (2, None)], "doc_id long, text string")
     got = {x.doc_id: (x.selected, x.copies) for x in quality.resample(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()}
