@@ -492,6 +492,18 @@ oracle("roc_eer", f"{TRIALS} points", """
            round(first((fpr + 1 - tpr) / 2 order by round(abs(fpr - (1 - tpr)), 9), threshold), 6) as eer
     from (select *, lag(fpr) over (order by threshold desc) as fpr0, lag(tpr) over (order by threshold desc) as tpr0
           from points)""")
+RATIO = "(1.01::double / 0.99::double)"
+ESTIMATES = ", ".join(f"""round(coalesce(min(cell) filter (upto >= greatest(1, ceil(whole * {p / 100}::double)) and cell = 0),
+    pow({RATIO}, min(cell) filter (upto >= greatest(1, ceil(whole * {p / 100}::double))) - 1) * 2 / (1 + {RATIO})), 6) as p{p}"""
+                      for p in (50, 95, 99))
+oracle("latency_sketches", CHUNKS, f"""
+    select month, max(whole)::bigint as n, round(sum(total) / max(whole), 6) as mean, {ESTIMATES}
+    from (select *, sum(n) over (partition by month order by cell) as upto, sum(n) over (partition by month) as whole
+          from (select date_trunc('month', event_ts)::date as month,
+                       case when k = 0 then 0 else ceil(ln(k * 1000.0::double) / ln({RATIO})) + 1 end as cell,
+                       count(*) as n, sum(k * 1000) as total
+                from chunks group by 1, 2))
+    group by month""")
 PCT = ", ".join(f"quantile_cont(ms, {p / 100}) as p{p}_ms" for p in (50, 95, 99))
 oracle("latency_report", CHUNKS, f"""
     select count(*) as n_verdicts, {PCT}, round(avg((ms <= 60000)::int), 6) as within_budget,

@@ -19,7 +19,7 @@ from timbrewatch.catalog import fixtures as fx
 from timbrewatch.catalog.fixtures import CFG, DAY, HOUR, SPEC, table
 from timbrewatch.config import RiskConfig
 from timbrewatch.operators import (
-    audit, detect, explain, guard, identity, merkle, prosody, risk, spectral, trials, windows,
+    audit, detect, explain, guard, identity, merkle, prosody, risk, sketches, spectral, trials, windows,
 )
 from timbrewatch.plans.live import window_audit, window_verdicts
 from timbrewatch.session import scratch_dir, streaming_session
@@ -704,6 +704,19 @@ def latency_report(spark, sf_dir):
     return trials.latency(rows, 60_000, 3_000).withColumns(rounded(6, "within_budget", "real_time_factor"))
 
 
+@query
+def latency_sketches(spark, sf_dir):
+    """Delays per month from sketches kept per day by two batches, one of them delivered twice."""
+    rows = fx.chunks(spark, sf_dir)
+    folder = scratch_dir(spark, "latency-sketches")
+    keep = sketches.store(folder, F.col("k") * 1000, F.to_date("event_ts"))
+    for batch in (0, 1, 0):
+        keep(rows.where(F.col("seq") % 2 == batch), batch)
+    cells = sketches.read(spark, folder).withColumn("month", F.date_trunc("month", "day").cast("date"))
+    return sketches.quantiles(sketches.merge(cells, "month"), (0.5, 0.95, 0.99), "month").withColumns(
+        rounded(6, "mean", "p50", "p95", "p99"))
+
+
 @query
 def confirm_delay(spark, sf_dir):
     return trials.confirm_delay(_verdicts(spark, sf_dir), fx.confirmations(spark, sf_dir), 60_000)
