@@ -10,7 +10,7 @@ from timbrewatch.catalog.queries import QUERIES
 from timbrewatch.operators import audit, identity
 
 BATCH = [n for n in QUERIES if "stream" not in n and not n.endswith("_live") and n not in (
-    "audit_append", "audio_clip_scan", "pcm_unpack", "audit_verify", "anomaly_cells", "heatmap_grid", "suspicious_topk")]
+    "audit_append", "latency_sketches", "audio_clip_scan", "pcm_unpack", "clip_ranges", "audit_verify", "anomaly_cells", "heatmap_grid", "suspicious_topk")]
 # Windows over keys whose groups are bounded by construction, or over summaries of segments.
 BOUNDED = re.compile(r"_segment|_block|window_no|vec_id")
 
