@@ -2,10 +2,12 @@
 
 import random
 import re
+import tempfile
 import time
 
 import public_tokenizers
 import pytest
+import tokenizers
 import xxhash
 
 from tests.llm import brute
@@ -321,3 +323,31 @@ def test_contamination_of_long_items_is_quick(spark):
     assert time.time() - began < 60
     sums = [f"what is the sum of {a} and {a + 7} in the ring" for a in range(2000)]
     assert len(_items(spark, [sums[5], "nothing of the kind is said"], sums)[0]) >= 1
+
+
+def test_codec_looks_up_few_pairs():
+    """A merge looks only at the pairs it makes, and a state of the lexicon is read from its file once."""
+    class Counted(dict):
+        n = 0
+
+        def get(self, *args):
+            self.n += 1
+            return super().get(*args)
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    merger, reference = bpe.Merger(path), tokenizers.Tokenizer.from_file(path)
+    words = ["", "a", "internationalisierung", "ñcidoèñ", "x" * 60, "ab" * 40, "straßenbahnhaltestelle", "zz9".replace("9", "ü") * 30]
+    words += ["".join(random.Random(k).choices("aeinrstü", k=1 + k % 64)) for k in range(200)]
+    ranks = merger.ranks = Counted(merger.ranks)
+    for word in words:
+        ranks.n = 0
+        assert merger.encode(word) == (reference.encode(word, add_special_tokens=False).ids if word else [])
+        assert ranks.n <= 3 * len(word.encode())
+    with tempfile.NamedTemporaryFile() as f:
+        f.write(bpe.compile_lexicon({w.encode(): merger.encode(w) for w in words[1:100]}))
+        f.flush()
+        lexicon = bpe.Lexicon(f.name)
+    look = lambda: [lexicon.find(w.encode()) for w in words]
+    first = look()
+    lexicon.arcs = None
+    assert look() == first and first[1:100] == [merger.encode(w) for w in words[1:100]] and None in first[100:]

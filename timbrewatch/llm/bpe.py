@@ -40,53 +40,64 @@ def byte_signs() -> list[str]:
 
 
 class Merger:
-    """The exact merge rule over the vocabulary file."""
+    """The exact merge rule over the vocabulary file. Symbols are ids throughout."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.vocab: dict[str, int] = dict(spec["model"]["vocab"])
-        self.ranks = {tuple(m): i for i, m in enumerate(spec["model"]["merges"])}
+        vocab: dict[str, int] = spec["model"]["vocab"]
+        #: Rank of a pair of ids (the left one in the upper bits), and the id each rank makes.
+        self.ranks = {vocab[a] << 32 | vocab[b]: i for i, (a, b) in enumerate(map(tuple, spec["model"]["merges"]))}
+        self.made = [vocab["".join(m)] for m in spec["model"]["merges"]]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
-        self.signs = byte_signs()
+        self.tokens = {i: t for t, i in (vocab | self.special).items()}
+        signs = byte_signs()
+        self.inner, self.final = [vocab[s] for s in signs], [vocab[s + WORD_END] for s in signs]
 
     def encode(self, piece: str) -> list[int]:
         """Merge the lowest-ranked pair, leftmost first, until none is left."""
-        parts = [self.signs[b] for b in piece.encode()]
-        if not parts:
+        data = piece.encode()
+        if not data:
             return []
-        parts[-1] += WORD_END
+        parts = [self.inner[b] for b in data]
+        parts[-1] = self.final[data[-1]]
         if len(parts) > 64:
-            parts = self._merge_long(parts)
-        else:
-            while len(parts) > 1:
-                rank, at = min((self.ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:])))
-                if rank == 1 << 60:
-                    break
-                parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return [self.vocab[p] for p in parts]
-
-    def _merge_long(self, parts: list[str]) -> list[str]:
+            return self._merge_long(parts)
+        rank_of, none = self.ranks.get, len(self.made)
+        ranks = [rank_of(a << 32 | b, none) for a, b in zip(parts, parts[1:])]
+        while ranks:
+            rank = min(ranks)
+            if rank == none:
+                break
+            at = ranks.index(rank)
+            parts[at] = new = self.made[rank]
+            del parts[at + 1], ranks[at]
+            if at:  # only the pairs beside the new symbol changed
+                ranks[at - 1] = rank_of(parts[at - 1] << 32 | new, none)
+            if at < len(ranks):
+                ranks[at] = rank_of(new << 32 | parts[at + 1], none)
+        return parts
+
+    def _merge_long(self, parts: list[int]) -> list[int]:
         """The same rule with a heap and links, for pieces of any length."""
         import heapq
 
         n = len(parts)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(self.ranks[p], i, *p) for i, p in enumerate(zip(parts, parts[1:])) if p in self.ranks]
+        heap = [(self.ranks[a << 32 | b], i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a << 32 | b in self.ranks]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            rank, i, left, right = heapq.heappop(heap)
             j = after[i]
             if not alive[i] or j >= n or parts[i] != left or parts[j] != right:
                 continue
-            parts[i], alive[j], after[i] = left + right, False, after[j]
+            parts[i], alive[j], after[i] = self.made[rank], False, after[j]
             if after[i] < n:
                 before[after[i]] = i
             for a in (before[i], i):
                 b = after[a] if a >= 0 else n
-                if b < n and (parts[a], parts[b]) in self.ranks:
-                    heapq.heappush(heap, (self.ranks[parts[a], parts[b]], a, parts[a], parts[b]))
+                if b < n and (pair := parts[a] << 32 | parts[b]) in self.ranks:
+                    heapq.heappush(heap, (self.ranks[pair], a, parts[a], parts[b]))
         return [p for p, live in zip(parts, alive) if live]
 
 
@@ -153,21 +164,24 @@ class Lexicon:
             parts.append(view[at:at + 4 * n].cast("I"))
             at += 4 * n
         self.firsts, self.finals, self.arcs, self.offsets, self.ids = parts
+        self.met: dict[int, dict[int, tuple[int, int]]] = {}
+
+    def _arcs(self, state: int) -> dict[int, tuple[int, int]]:
+        """A state's arcs by byte, read from the file when it is first met."""
+        low, high = 3 * self.firsts[state], 3 * self.firsts[state + 1]
+        flat = self.arcs[low:high].tolist()
+        self.met[state] = found = dict(zip(flat[::3], zip(flat[1::3], flat[2::3])))
+        return found
 
     def find(self, word: bytes) -> list[int] | None:
-        state, number = self.start, 0
+        state, number, met = self.start, 0, self.met
         for b in word:
-            low, high = self.firsts[state], self.firsts[state + 1]
-            while low < high:
-                mid = (low + high) // 2
-                if self.arcs[3 * mid] < b:
-                    low = mid + 1
-                else:
-                    high = mid
-            if low == self.firsts[state + 1] or self.arcs[3 * low] != b:
+            arcs = met.get(state)
+            arc = (self._arcs(state) if arcs is None else arcs).get(b)
+            if arc is None:
                 return None
-            number += self.arcs[3 * low + 2]
-            state = self.arcs[3 * low + 1]
+            state, before = arc
+            number += before
         return self.ids[self.offsets[number]:self.offsets[number + 1]].tolist() if self.finals[state] else None
 
 
